@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import encode, mixing
+from quillmesh.llm import encode, mixing, pieces
 from quillmesh.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,20 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def _limited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    blocks = table(spark, d, "normalized_blocks", "block_id", "text")
+    chunks = table(spark, d, "knowledge_chunks", "chunk_id", "content", "index_text")
+    texts = pieces.fields((blocks, "block_id", "text", "block_text"), (chunks, "chunk_id", "content", "chunk_content"), (chunks, "chunk_id", "index_text", "chunk_index_text"))
+    return texts, table(spark, d, "size_limits")
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.cut_kinds(*_limited(spark, d))
+
+
+@query
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.split(*_limited(spark, d))
