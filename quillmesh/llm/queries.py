@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import encode, mixing, pieces
+from quillmesh.llm import encode, mixing, pieces, terms
 from quillmesh.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split(*_limited(spark, d))
+
+
+def _index_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "knowledge_chunks").selectExpr("chunk_id as record_id", "index_text as text")
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    probes = table(spark, d, "term_probes").withColumnRenamed("chunk_id", "record_id")
+    return terms.distinctive(probes, _index_texts(spark, d))
+
+
+@query
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    return terms.scores(_index_texts(spark, d)).withColumnRenamed("record_id", "chunk_id")
