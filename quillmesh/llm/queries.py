@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import encode, mixing, pieces, terms
+from quillmesh.llm import encode, mixing, pieces, terms, vectors
 from quillmesh.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     return terms.scores(_index_texts(spark, d)).withColumnRenamed("record_id", "chunk_id")
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.close_pairs(table(spark, d, "vector_records"))
+
+
+@query
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.similar(table(spark, d, "vector_records"))
