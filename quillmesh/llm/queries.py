@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import encode, mixing, pieces, terms, vectors
+from quillmesh.llm import encode, lookalike, mixing, pieces, terms, vectors
 from quillmesh.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vectors.similar(table(spark, d, "vector_records"))
+
+
+def _visible(spark: SparkSession, d: str) -> DataFrame:
+    blocks = table(spark, d, "normalized_blocks").selectExpr("'block' as record_kind", "block_id as id", "text")
+    return blocks.unionByName(table(spark, d, "knowledge_chunks").selectExpr("'chunk' as record_kind", "chunk_id as id", "index_text as text"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_pairs(_visible(spark, d))
+
+
+@query
+def p3_normalized(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.normalized(_visible(spark, d))

@@ -43,7 +43,7 @@ class Index:
     seed: int = 20_24
 
 
-NEIGHBOURS = Index(tables=12, hashes=2, probes=8)
+NEIGHBOURS = Index(tables=16, hashes=2, probes=8)
 CLOSE = Index(tables=8, hashes=2, probes=2)
 
 
