@@ -9,7 +9,7 @@ Then script-aware repair, the method: the dominant script of each token of Latin
 determined, and look-alikes are substituted only in tokens of mixed script, and only where the result
 exists in the vocabulary of the corpus. A token that consists of look-alikes of one other script throughout (a short
 word or acronym) counts as mixed with its text: it is repaired if the text has no unmistakable letter of the
-token's script, or mostly letters of the other one, and the result is the more frequent word.
+token's script, or mostly letters of the other one, and the result is the more frequent word in texts of that script.
 
 The vocabulary covers the tokens of all texts and stays distributed; suspicious tokens are joined with it by
 shuffle. Null texts and null ids give no rows; empty texts stay empty. Repeated rows of a record count once.
@@ -103,18 +103,26 @@ def into(token: str, to: str) -> str | None:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def suspicious(text: str) -> list[tuple[str, list[str]]]:
-    """Distinct tokens that may hold look-alikes, each with its possible repairs, the dominant script's first."""
-    if not _OTHER.search(text):
-        return []
-    tokens = Counter(_TOKEN.findall(text))
-    own = {t: counted(t) for t in tokens}
-    sure: Counter = Counter()  # letters by script in tokens that can't be of another script
+def context(own: dict[str, Counter], tokens: Counter) -> tuple[str, Counter]:
+    """The script a text is written in and its letters by script, from the tokens that can be of one script only;
+    Latin where there are none."""
+    sure: Counter = Counter()
     for t, n in tokens.items():
         if len(own[t]) == 1:
             s = next(iter(own[t]))
             if all(into(t, o) is None for o in "LCG" if o != s):
                 sure[s] += n * sum(own[t].values())
+    return max("LCG", key=lambda x: (sure[x], x == "L")), sure
+
+
+def suspicious(text: str) -> tuple[str, list[tuple[str, list[str]]]]:
+    """The text's script, and its distinct tokens that may hold look-alikes, each with its possible repairs, the
+    dominant script's first."""
+    if not _OTHER.search(text):
+        return "L", []
+    tokens = Counter(_TOKEN.findall(text))
+    own = {t: counted(t) for t in tokens}
+    to, sure = context(own, tokens)
     out = []
     for t in tokens:
         scripts = own[t]
@@ -124,11 +132,10 @@ def suspicious(text: str) -> list[tuple[str, list[str]]]:
             s = next(iter(scripts))
             if sure[s] and sure[s] * 2 >= sum(sure.values()):
                 continue
-            to = max("LCG", key=lambda x: (sure[x], x == "L"))
             found = [r] if to != s and (r := into(t, to)) is not None else []
         if found:
             out.append((t, list(dict.fromkeys(found))))
-    return out
+    return to, out
 
 
 def repaired(text: str, repairs: dict[str, str]) -> str:
@@ -139,22 +146,31 @@ FLUSH = 100_000
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """(word, n): all tokens of one script in any texts, folded in case, with their occurrences."""
+    """(word, context, n): all tokens of one script in any texts, folded in case, with their occurrences in texts of
+    each script."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+        def emit(found: dict[str, Counter]) -> pa.RecordBatch:
+            rows = [(w, c, n) for c, words in found.items() for w, n in _folded(words).items()]
+            words, contexts, counts = zip(*rows, strict=True) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(contexts, pa.string()), pa.array(counts, pa.int64())], names=["word", "context", "n"])
 
-        found: Counter = Counter()
+        found: dict[str, Counter] = {"L": Counter(), "C": Counter(), "G": Counter()}
         for b in batches:
             for t in b.column(0).to_pylist():
-                found.update(_TOKEN.findall(plain(t)))
-            if len(found) > FLUSH:
-                yield emit(_folded(found))
-                found = Counter()
-        yield emit(_folded(found))
+                form = plain(t)
+                words = _TOKEN.findall(form)
+                if _OTHER.search(form):
+                    tokens = Counter(words)
+                    found[context({w: counted(w) for w in tokens}, tokens)[0]].update(tokens)
+                else:
+                    found["L"].update(words)
+            if sum(map(len, found.values())) > FLUSH:
+                yield emit(found)
+                found = {"L": Counter(), "C": Counter(), "G": Counter()}
+        yield emit(found)
 
-    return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "word string, context string, n bigint").groupBy("word", "context").agg(F.sum("n").alias("n"))
 
 
 def _folded(found: Counter) -> Counter:
@@ -177,12 +193,12 @@ def first_forms(texts: DataFrame) -> DataFrame:
             rows = []
             for kind, i, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 form = plain(t)
-                odd = suspicious(form)
+                to, odd = suspicious(form)
                 raw = t.encode("utf-8", "replace")
                 rows.append(
                     {
                         "record_kind": kind, "id": i, "raw": digest(raw), "canon": digest(form.encode("utf-8", "replace")), "text": form if odd else None,
-                        "tokens": [{"token": w, "folded": w.casefold(), "results": [{"rank": k, "result": r, "folded": r.casefold()} for k, r in enumerate(rs)]} for w, rs in odd] or None,
+                        "tokens": [{"token": w, "context": to, "folded": w.casefold(), "results": [{"rank": k, "result": r, "folded": r.casefold()} for k, r in enumerate(rs)]} for w, rs in odd] or None,
                     }
                 )
             yield pa.RecordBatch.from_pylist(rows, schema=_FORMS)
@@ -192,22 +208,22 @@ def first_forms(texts: DataFrame) -> DataFrame:
 
 _RESULT = pa.struct([("rank", pa.int32()), ("result", pa.string()), ("folded", pa.string())])
 _FORMS = pa.schema(
-    [("record_kind", pa.string()), ("id", pa.string()), ("raw", pa.binary()), ("canon", pa.binary()), ("text", pa.string()), ("tokens", pa.list_(pa.struct([("token", pa.string()), ("folded", pa.string()), ("results", pa.list_(_RESULT))])))]
+    [("record_kind", pa.string()), ("id", pa.string()), ("raw", pa.binary()), ("canon", pa.binary()), ("text", pa.string()), ("tokens", pa.list_(pa.struct([("token", pa.string()), ("context", pa.string()), ("folded", pa.string()), ("results", pa.list_(_RESULT))])))]
 )
-_FORMS_DDL = "record_kind string, id string, raw binary, canon binary, text string, tokens array<struct<token:string,folded:string,results:array<struct<rank:int,result:string,folded:string>>>>"
+_FORMS_DDL = "record_kind string, id string, raw binary, canon binary, text string, tokens array<struct<token:string,context:string,folded:string,results:array<struct<rank:int,result:string,folded:string>>>>"
 
 
 def chosen_repairs(forms: DataFrame, words: DataFrame) -> DataFrame:
     """(record_kind, id, repairs): of the suspicious tokens the repairs that the vocabulary confirms."""
     each = forms.where("tokens is not null").select("record_kind", "id", F.explode("tokens").alias("t")).select("record_kind", "id", "t.*")
-    options = each.select("token", "folded", "results").distinct().select("token", "results", F.col("folded").alias("own"), F.explode("results").alias("r"))
-    options = options.select("token", "results", "own", "r.rank", "r.result", "r.folded")
-    asked = options.select(F.col("folded").alias("word")).union(options.select(F.col("own").alias("word"))).distinct()
-    known = words.join(asked, "word", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
-    options = options.join(known.withColumnsRenamed({"word": "folded", "n": "n"}), "folded").join(known.withColumnsRenamed({"word": "own", "n": "own_n"}), "own", "left")
+    options = each.select("token", "context", "results", F.col("folded").alias("own")).distinct().withColumn("r", F.explode("results"))
+    options = options.select("token", "context", "results", "own", "r.rank", "r.result", F.col("r.folded").alias("folded"))
+    asked = options.select(F.col("folded").alias("word"), "context").union(options.select(F.col("own").alias("word"), "context")).distinct()
+    known = words.join(asked, ["word", "context"], "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    options = options.join(known.withColumnsRenamed({"word": "folded"}), ["folded", "context"]).join(known.withColumnsRenamed({"word": "own", "n": "own_n"}), ["own", "context"], "left")
     better = options.where("own_n is null or n > own_n")  # a mixed token is never in the vocabulary itself
-    best = better.withColumn("__n", F.row_number().over(Window.partitionBy("token", "results").orderBy(F.desc("n"), "rank"))).where("__n = 1")
-    got = each.join(best.select("token", "results", "result"), ["token", "results"])
+    best = better.withColumn("__n", F.row_number().over(Window.partitionBy("token", "context", "results").orderBy(F.desc("n"), "rank"))).where("__n = 1")
+    got = each.join(best.select("token", "context", "results", "result"), ["token", "context", "results"])
     return got.groupBy("record_kind", "id").agg(F.collect_set(F.struct("token", "result")).alias("repairs"))
 
 
