@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmesh.llm import encode, lookalike, mixing, pieces, terms, vectors
+from quillmesh.llm import encode, lookalike, mixing, pieces, sentences, terms, vectors
 from quillmesh.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +94,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p3_normalized(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalized(_visible(spark, d))
+
+
+def _sentence_texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    blocks = table(spark, d, "normalized_blocks").selectExpr("block_id as id", "text")
+    return blocks, table(spark, d, "knowledge_chunks").selectExpr("chunk_id as id", "content as text")
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.probed(table(spark, d, "sentence_probes"), *_sentence_texts(spark, d))
+
+
+@query
+def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
+    blocks, chunks = _sentence_texts(spark, d)
+    both = blocks.selectExpr("concat('block\\0', id) as key", "text").unionByName(chunks.selectExpr("concat('chunk\\0', id) as key", "text"))
+    found = sentences.sentence_table(both.dropDuplicates(["key"]))
+    return found.selectExpr("split_part(key, '\\0', 1) as record_kind", "split_part(key, '\\0', 2) as record_id", "posexplode(ends) as (n, end_pos)").withColumn("n", F.col("n") + 1)
