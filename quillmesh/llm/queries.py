@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import encode, lookalike, mixing, pieces, sentences, terms, vectors
+from quillmesh.llm import encode, language, lookalike, mixing, pieces, sentences, terms, vectors
 from quillmesh.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,18 @@ def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
     both = blocks.selectExpr("concat('block\\0', id) as key", "text").unionByName(chunks.selectExpr("concat('chunk\\0', id) as key", "text"))
     found = sentences.sentence_table(both.dropDuplicates(["key"]))
     return found.selectExpr("split_part(key, '\\0', 1) as record_kind", "split_part(key, '\\0', 2) as record_id", "posexplode(ends) as (n, end_pos)").withColumn("n", F.col("n") + 1)
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.label_cases(table(spark, d, "documents"))
+
+
+@query
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "documents"))
+
+
+@query
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(table(spark, d, "documents"))
