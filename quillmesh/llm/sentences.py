@@ -49,7 +49,7 @@ FULL, FULL_ASK, ASK, CLOSERS, OPENERS, DASHES, COMMAS = "。．｡", "？！", "
 #: Han characters in verbs of speech.
 SPEECH = "问問说説說道答喊叫嚷"
 _LOOK = 24
-_CAMEL = 3
+_CAMEL = 8
 
 
 class State(NamedTuple):
@@ -210,8 +210,8 @@ def step(s: State, c: str) -> tuple[State, int]:
     if s.mode == "P":
         return _after_mark(s, c)
     fresh = State("T")
-    if s.mode == "L":  # a lower-case word: only one with a capital inside starts a sentence
-        if c in _UPPER:
+    if s.mode == "L":  # a lower-case word: only one with a capital inside (eBGP) starts a sentence
+        if c in _UPPER or c in ("open", "other", "0"):  # also a name in code
             return State("T", -1), COMMIT
         if c in _LOWER and s.left > 1:
             return s._replace(left=s.left - 1, node=_text(State("T", s.node), c)[0].node), 0
