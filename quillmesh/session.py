@@ -67,10 +67,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
-    """Rows evenly over at least ``per_core`` tasks a core, for Python-heavy work behind a scan of few large
-    files. A scan that already has as many partitions stays as it is, without a shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() >= want:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows evenly over two tasks a core, for Python-heavy work behind a scan of few large files. Where the
+    scan already keeps half of the cores busy it stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 >= cores:
         return df
-    return df.repartition(want, *keys) if keys else df.repartition(want)
+    return df.repartition(cores * 2, *keys) if keys else df.repartition(cores * 2)
