@@ -107,12 +107,12 @@ def every_start(folded: str, lengths: list[int]) -> Counter:
     return out
 
 
-_COUNTS = pa.schema([("record_id", pa.string()), ("term", pa.string()), ("tf", pa.int64()), ("dl", pa.int64())])
+_COUNTS = pa.schema([("record_id", pa.string()), ("dl", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))])
 
 
 def term_counts(records: DataFrame, vocabulary: DataFrame | None = None, most_terms: int = MOST_TERMS) -> DataFrame:
-    """(record_id, term, tf, dl) of records (record_id, text), and for each record one row with null term and tf.
-    ``vocabulary`` has a column ``term`` of folded terms."""
+    """(record_id, dl, terms: array of term and tf) of records (record_id, text), one row each, so that repeated rows
+    are found by their ids alone. ``vocabulary`` has a column ``term`` of folded terms."""
     spark = records.sparkSession
     ship(spark)
     words: list[str] | None = None
@@ -137,26 +137,24 @@ def term_counts(records: DataFrame, vocabulary: DataFrame | None = None, most_te
                 automaton.add_word(w, w)
             automaton.make_automaton()
         for b in batches:
-            ids: list[str] = []
-            found: list[str | None] = []
-            tfs: list[int | None] = []
-            dls: list[int] = []
+            rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = fold(t or "")
-                dl = units(text)
                 counts = all_terms(text) if every else count_in(text, automaton) if automaton else every_start(text, lengths)
-                n = len(counts) + 1
-                ids += [i] * n
-                found += [None, *counts]
-                tfs += [None, *counts.values()]
-                dls += [dl] * n
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string()), pa.array(tfs, pa.int64()), pa.array(dls, pa.int64())], schema=_COUNTS)
+                rows.append({"record_id": i, "dl": units(text), "terms": [{"term": w, "tf": n} for w, n in counts.items()]})
+            yield pa.RecordBatch.from_pylist(rows, schema=_COUNTS)
 
     source = records.where("record_id is not null").select(F.col("record_id").cast("string"), "text")
-    out = spread(source).mapInArrow(run, "record_id string, term string, tf bigint, dl bigint")
+    out = spread(source).mapInArrow(run, "record_id string, dl bigint, terms array<struct<term:string,tf:bigint>>").dropDuplicates(["record_id"])
     if lengths:
-        out = out.where("term is null").unionByName(out.join(vocabulary, "term", "left_semi"))
-    return out.dropDuplicates(["record_id", "term"])  # repeated rows of a record count once
+        kept = exploded(out).join(vocabulary, "term", "left_semi").groupBy("record_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+        out = out.drop("terms").join(kept, "record_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<term:string,tf:bigint>>")))
+    return out
+
+
+def exploded(counts: DataFrame) -> DataFrame:
+    """(record_id, dl, term, tf) from the rows of ``term_counts``."""
+    return counts.select("record_id", "dl", F.explode("terms").alias("t")).select("record_id", "dl", "t.term", "t.tf")
 
 
 def glsq(tf: Column, dl: Column, occurrences: Column, n: Column, avgdl: Column, c: float = C) -> Column:
@@ -166,14 +164,19 @@ def glsq(tf: Column, dl: Column, occurrences: Column, n: Column, avgdl: Column,
     return (tfn * F.log2((1 + lam) / lam) + F.log2(1 + lam)) / (tfn + 1)
 
 
+def scored(counts: DataFrame, wanted: DataFrame, c: float = C) -> DataFrame:
+    """``wanted`` rows (record_id, dl, term, tf, ...) with their score, by the statistics of all ``counts``."""
+    whole = counts.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    f = counts.select(F.explode("terms").alias("t")).groupBy("t.term").agg(F.sum("t.tf").alias("occurrences"))
+    f = f.join(F.broadcast(whole))  # one row of statistics beside each term
+    score = glsq(F.col("tf"), F.col("dl"), F.col("occurrences"), F.col("n"), F.col("avgdl"), c).alias("score")
+    return wanted.join(f, "term").select(*wanted.columns, score)
+
+
 def scores(records: DataFrame, vocabulary: DataFrame | None = None, c: float = C, most_terms: int = MOST_TERMS) -> DataFrame:
     """(record_id, term, tf, score) of every term in every record that has it."""
     counts = term_counts(records, vocabulary, most_terms).persist(StorageLevel.MEMORY_AND_DISK)
-    whole = counts.where("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = counts.where("term is not null")
-    f = terms.groupBy("term").agg(F.sum("tf").alias("occurrences"))
-    f = f.join(F.broadcast(whole))  # one row of statistics beside each term
-    return terms.join(f, "term").select("record_id", "term", "tf", glsq(F.col("tf"), F.col("dl"), F.col("occurrences"), F.col("n"), F.col("avgdl"), c).alias("score"))
+    return scored(counts, exploded(counts), c).select("record_id", "term", "tf", "score")
 
 
 def distinctive(probes: DataFrame, records: DataFrame, c: float = C) -> DataFrame:
@@ -187,6 +190,8 @@ def distinctive(probes: DataFrame, records: DataFrame, c: float = C) -> DataFram
 
     asked = probes.dropDuplicates(["probe_id"]).select("probe_id", "record_id", F.explode("candidates").alias("candidate")).where("candidate is not null")
     asked = asked.withColumn("term", folded("candidate")).persist(StorageLevel.MEMORY_AND_DISK)
-    found = asked.join(scores(records, asked.select("term"), c), ["record_id", "term"])
+    counts = term_counts(records, asked.select("term")).persist(StorageLevel.MEMORY_AND_DISK)
+    terms = exploded(counts.join(asked.select("record_id").distinct(), "record_id", "left_semi"))
+    found = scored(counts, asked.join(terms, ["record_id", "term"]).select("probe_id", "candidate", "term", "tf", "dl"), c)
     best = Window.partitionBy("probe_id").orderBy(F.desc("score"), "candidate")
     return found.withColumn("__n", F.row_number().over(best)).where("__n = 1").select("probe_id", F.col("candidate").alias("term"))
