@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import encode, language, lookalike, mixing, pieces, sentences, terms, vectors
+from quillmesh.llm import encode, language, lookalike, mixing, pieces, scans, sentences, terms, vectors
 from quillmesh.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,13 @@ def p9_languages(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(table(spark, d, "documents"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.findings(table(spark, d, "normalized_blocks"))
+
+
+@query
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return scans.paragraphs(table(spark, d, "normalized_blocks"))
