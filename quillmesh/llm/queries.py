@@ -110,7 +110,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
     blocks, chunks = _sentence_texts(spark, d)
     both = blocks.selectExpr("concat('block\\0', id) as key", "text").unionByName(chunks.selectExpr("concat('chunk\\0', id) as key", "text"))
-    found = sentences.sentence_table(both.dropDuplicates(["key"]))
+    found = sentences.once_each(sentences.sentence_table(both))
     return found.selectExpr("split_part(key, '\\0', 1) as record_kind", "split_part(key, '\\0', 2) as record_id", "posexplode(ends) as (n, end_pos)").withColumn("n", F.col("n") + 1)
 
 

@@ -466,19 +466,27 @@ def long_ends(texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def sentence_table(texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(key, ends) of texts (key string unique, text)."""
+    """(key, ends) of texts (key string, text). Texts stay where they are read; rows that repeat a key within a chunk's size
+    repeat in the result, too, for ``once_each``."""
     ship(texts.sparkSession)
     some = texts.where("key is not null and text is not null").select("key", "text")
     size = F.char_length("text")
-    return short_ends(spread(some.where(size <= chunk))).unionByName(long_ends(some.where(size > chunk), chunk))
+    long = some.where(size > chunk).dropDuplicates(["key"])
+    return short_ends(spread(some.where(size <= chunk))).unionByName(long_ends(long, chunk))
+
+
+def once_each(table: DataFrame) -> DataFrame:
+    """One row for each key, by the small rows of ends instead of the texts."""
+    return table.dropDuplicates(["key"])
 
 
 def probed(probes: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(probe_id, end_pos) of probes (probe_id, record_kind, record_id) on blocks and chunks (id, text). Texts are
-    found by their ids first; only the ids of the probes are sorted out before the split, never parts of texts."""
+    """(probe_id, end_pos) of probes (probe_id, record_kind, record_id) on blocks and chunks (id, text). All texts are
+    split where they are read, and their ends are joined with the probes: a shuffle of ends, not of texts."""
     asked = probes.where("probe_id is not null").dropDuplicates(["probe_id"])
+    key = F.concat_ws("\0", "record_kind", "record_id")
     texts = blocks.select(F.lit("block").alias("record_kind"), F.col("id").alias("record_id"), "text").unionByName(chunks.select(F.lit("chunk").alias("record_kind"), F.col("id").alias("record_id"), "text"))
-    key = ["record_kind", "record_id"]
-    one = texts.join(asked.select(*key).distinct(), key, "left_semi").dropDuplicates(key)
-    table = sentence_table(one.select(F.concat_ws("\0", *key).alias("key"), "text"))
-    return asked.withColumn("key", F.concat_ws("\0", *key)).join(table, "key").select("probe_id", F.explode("ends").alias("end_pos"))
+    table = sentence_table(texts.where("record_id is not null").select(key.alias("key"), "text"))
+    wanted = asked.select("probe_id", key.alias("key"))
+    found = once_each(table.join(wanted.select("key").distinct(), "key", "left_semi"))
+    return wanted.join(found, "key").select("probe_id", F.explode("ends").alias("end_pos"))
