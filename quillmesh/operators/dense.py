@@ -48,17 +48,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, filters: SearchFi
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        x, y = np.stack(a["values"].to_list()).astype(float), np.stack(b["values"].to_list()).astype(float)
+        x, y = np.stack(a["values_a"].to_list()).astype(float), np.stack(b["values_b"].to_list()).astype(float)
         s = (y / np.linalg.norm(y, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
         if s.shape[1] > k:  # all that tie with the k-th go on
             least = np.round(-np.partition(-s, k - 1, axis=1)[:, k - 1 : k], 9)
             r, c = np.nonzero(np.round(s, 9) >= least)
         else:
             r, c = np.nonzero(np.ones_like(s, bool))
-        return pd.DataFrame({"query_id": b["id"].to_numpy()[r], "chunk_id": a["id"].to_numpy()[c], "score": s[r, c]})
+        return pd.DataFrame({"query_id": b["id_b"].to_numpy()[r], "chunk_id": a["id_a"].to_numpy()[c], "score": s[r, c]})
 
     keys = ["space", "q", "v"]
-    found = own.select(*keys, "id", "values").groupBy(*keys).cogroup(ask.select(*keys, "id", "values").groupBy(*keys)).applyInPandas(best, kind)
+
+    def side(df: DataFrame, tag: str) -> DataFrame:  # new columns, as both sides may come from one table
+        return df.select(*[F.col(c).alias(f"{c}_{tag}") for c in (*keys, "id", "values")])
+
+    a, b = side(own, "a"), side(ask, "b")
+    found = a.groupBy(*[f"{c}_a" for c in keys]).cogroup(b.groupBy(*[f"{c}_b" for c in keys])).applyInPandas(best, kind)
     return ranked(found, k)
 
 
