@@ -441,17 +441,18 @@ def long_ends(texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 base, mark, place = r["i"] * chunk, -1, 0
                 for p, what in found:
                     if what & COMMIT:
-                        rows.append((r["key"], base + p, place, "c", base + mark if mark > 0 else None))
+                        rows.append((r["key"], 2 * (base + p), place, "c", base + mark if mark > 0 else None))
                         mark, place = -1, place + 1
                     if what & BLANK:
                         q = _rstrip(t, p)
-                        rows.append((r["key"], base + p, place, "b", base + q if q else None))
+                        rows.append((r["key"], 2 * (base + p), place, "b", base + q if q else None))
                         mark, place = -1, place + 1
                     later = what >> 4 if what >= 16 else what
                     mark = p + 1 if later & MARK else p if later & BEFORE else mark
                 q = _rstrip(t, len(t))
-                rows.append((r["key"], base + len(t), place, "m", base + mark if mark > 0 else None))  # an open mark
-                rows.append((r["key"], base + len(t), place + 1, "s", base + q if q else None))  # the last character
+                after = 2 * (base + len(t)) - 1  # after all of this chunk, before all of the next
+                rows.append((r["key"], after, place, "m", base + mark if mark > 0 else None))  # an open mark
+                rows.append((r["key"], after, place + 1, "s", base + q if q else None))  # the last character
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int64())], names=["key", "at", "place", "what", "p"])
 
