@@ -20,9 +20,11 @@ id or document are left out; repeated rows count once. Code, tables, equations a
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.session import ship, spread
-from quillmesh.sources.tables import once
 
 PAGES = 64
 HALO = 2
@@ -52,9 +53,11 @@ _PAGE_WORD = r"(?:page|p|pp|seite|s|página|pág|pag|p[áa]gina|第|页|頁|-|
 _NUMBER = re.compile(rf"^{_PAGE_WORD}*\d{{1,5}}(?:\s*/\s*\d{{1,5}})?{_PAGE_WORD}*$", re.I)
 _ROMAN = re.compile(r"^[\s\-—·\[(]*(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})[\s\-—·\])]*$", re.I)
 _AS_DIGITS = str.maketrans("lIiOoSsBZzgq", "111005582299")
-_WORD = re.compile(rf"(?:(?![{_HAN}_])[^\W_]|[̀-ͯ])+(?:[-‐‑'’](?:(?![{_HAN}_])[^\W_]|[̀-ͯ])+)*")
+_LETTER = rf"[^\W_{_HAN}]"
+_WORD = re.compile(rf"{_LETTER}+(?:[-‐‑'’]{_LETTER}+)*")
 _RUN = re.compile(f"[{_HAN}]+")
-_BROKEN = re.compile(rf"((?:(?![{_HAN}])\w|-)+)[{MARKS}][ \t]*\n[ \t]*((?:(?![{_HAN}])\w)+(?:-\w+)*)")
+_MARKED = re.compile(rf"[{MARKS}][ \t]*(?:\n|$)")
+_BROKEN = re.compile(rf"((?:{_LETTER}|[-_])+)[{MARKS}][ \t]*\n[ \t]*({_LETTER}+(?:-\w+)*)")
 
 
 def is_number(line: str) -> bool:
@@ -90,11 +93,13 @@ def key_column(line: Column) -> Column:
 # ---------------------------------------------------------------- lines of a group of pages
 
 
+@lru_cache(maxsize=50_000)
 def similar(a: str, b: str) -> bool:
+    """Whether two short lines differ by a few letters only."""
     if abs(len(a) - len(b)) > 3 or len(a) < 5:
         return False
     m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.quick_ratio() >= 0.8 and m.ratio() >= 0.8
+    return m.real_quick_ratio() >= 0.8 and m.quick_ratio() >= 0.8 and m.ratio() >= 0.8
 
 
 def symbols(f: pd.DataFrame) -> list[tuple[int, int, str, int, int]]:
@@ -120,8 +125,10 @@ def symbols(f: pd.DataFrame) -> list[tuple[int, int, str, int, int]]:
     titles = {key_of(h) for h in heads if h} | {key_of(lines[i][0]) for i in range(n) if len(lines[i]) == 1 and types[i] in ("document_title", "section_heading")}
     title_list = sorted(t for t in titles if len(t) >= 5)
 
+    longest = max(map(len, head_keys), default=0) + 12
+
     def looks(i: int, line: str, alone: bool) -> int:
-        if not line.strip() or len(line) > 90:
+        if len(line) > 90 or not alone and len(line) > max(longest, 20) or not line.strip():
             return 0
         if is_number(line):
             v = number_in(line)
@@ -193,20 +200,35 @@ class Model:
         return cls(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True)))
 
     def path(self, symbol: np.ndarray) -> np.ndarray:
-        n = len(symbol)
-        if not n:
+        """The Viterbi path; plain numbers, since three states are too few for arrays to pay."""
+        if not len(symbol):
             return np.zeros(0, int)
-        score = self.start + self.emit[:, symbol[0]]
-        back = np.zeros((n, 3), int)
-        for t in range(1, n):
-            each = score[:, None] + self.move
-            back[t] = each.argmax(0)
-            score = each.max(0) + self.emit[:, symbol[t]]
-        out = np.zeros(n, int)
-        out[-1] = score.argmax()
-        for t in range(n - 1, 0, -1):
-            out[t - 1] = back[t][out[t]]
-        return out
+        emit = self.emit.T.tolist()
+        moves = self.move.T.tolist()  # moves[to][from]
+        first = emit[int(symbol[0])]
+        score = [float(self.start[k]) + first[k] for k in range(3)]
+        back = []
+        for o in symbol[1:].tolist():
+            e = emit[o]
+            new, came = [], []
+            for k in range(3):
+                m = moves[k]
+                x, y, z = score[0] + m[0], score[1] + m[1], score[2] + m[2]
+                if x >= y and x >= z:
+                    new.append(x + e[k])
+                    came.append(0)
+                elif y >= z:
+                    new.append(y + e[k])
+                    came.append(1)
+                else:
+                    new.append(z + e[k])
+                    came.append(2)
+            score = new
+            back.append(came)
+        out = [score.index(max(score))]
+        for came in reversed(back):
+            out.append(came[out[-1]])
+        return np.array(out[::-1])
 
     @classmethod
     def trained(cls, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 3) -> Model:
@@ -221,42 +243,92 @@ class Model:
 
 
 def scanned(blocks: DataFrame) -> DataFrame:
-    """Blocks of scanned books, each once."""
+    """Blocks of scanned books; rows that repeat a block are sorted out in their group of pages, without a shuffle of its own."""
     books = blocks.where(F.col("source_path").startswith("scans/")).select("document_id").distinct()
-    rows = blocks.where(F.col("document_id").isNotNull()).join(books, "document_id", "left_semi")
-    return once(rows.select("block_id", "document_id", "text", "block_type", F.try_element_at("heading_path", F.lit(1)).alias("head"), F.coalesce("page_start", F.lit(0)).alias("page_start"), F.coalesce("page_end", "page_start", F.lit(0)).alias("page_end"), "ordinal", "ingested_at"), "block_id").drop("ingested_at")
+    rows = blocks.where(F.col("document_id").isNotNull() & F.col("block_id").isNotNull()).join(books, "document_id", "left_semi")
+    return rows.select("block_id", "document_id", "text", "block_type", F.try_element_at("heading_path", F.lit(1)).alias("head"), F.coalesce("page_start", F.lit(0)).alias("page_start"), F.coalesce("page_end", "page_start", F.lit(0)).alias("page_end"), "ordinal", "ingested_at")
+
 
+def near_pages() -> Column:
+    """The groups of pages a row stands in: its own, and the neighbour's if it is near its end."""
+    page = F.col("page_start")
+    return F.array_distinct(F.array(*[F.floor((page + d) / PAGES) for d in (0, -HALO, HALO)]))
 
-def with_repeats(blocks: DataFrame) -> DataFrame:
-    """Blocks with ``repeats``: a single line that stands on several pages of its book or in several books."""
+
+def repeated_keys(blocks: DataFrame) -> DataFrame:
+    """(document_id, pages, key): of each group of pages the single lines, by their keys, that stand on several pages of their book or
+    in several books. Only keys go through the joins."""
     line = (F.instr("text", "\n") == 0) & (F.char_length("text") <= 90) & (F.col("block_type") == "paragraph") & ~F.col("text").rlike(r"[.!?。！？:：;；,，]\s*$")
-    keyed = blocks.withColumn("key", F.when(line, key_column(F.col("text"))))
-    pages = keyed.where("key is not null and key != ''").groupBy("document_id", "key").agg(F.count_distinct("page_start").alias("pages"))
+    short = blocks.where(line).select("document_id", "page_start", F.col("text").alias("t")).select("document_id", "page_start", key_column(F.col("t")).alias("key")).where("key != ''").distinct()
+    pages = short.groupBy("document_id", "key").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set(near_pages()))).alias("groups"))
     books = pages.groupBy("key").agg(F.count("*").alias("books"))
-    known = pages.join(books, "key").where("pages >= 3 or books >= 3 or (pages >= 2 and books >= 2)").select("document_id", "key", F.lit(True).alias("repeats"))
-    return keyed.join(known, ["document_id", "key"], "left").withColumn("repeats", F.coalesce("repeats", F.lit(False))).drop("key")
+    known = pages.join(books, "key").where("n >= 3 or books >= 3 or (n >= 2 and books >= 2)")
+    return known.select("document_id", F.explode("groups").alias("pages"), "key")
 
 
 def grouped(blocks: DataFrame) -> DataFrame:
     """Rows by group of pages; those near its ends stand in the neighbour's group, too, as context."""
-    home = F.floor(F.col("page_start") / PAGES)
-    near = F.array_distinct(F.array(home, F.floor((F.col("page_start") - HALO) / PAGES), F.floor((F.col("page_start") + HALO) / PAGES)))
-    return blocks.withColumn("home", home).withColumn("pages", F.explode(near))
+    return blocks.withColumn("home", F.floor(F.col("page_start") / PAGES)).withColumn("pages", F.explode(near_pages()))
+
+
+def in_order(f: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+    """A group's rows in reading order, each block once, with ``repeats``."""
+    f = f.sort_values(["ordinal", "block_id", "ingested_at"])
+    f = f.drop_duplicates("block_id").reset_index(drop=True)
+    known = set(keys["key"])
+    f["repeats"] = [isinstance(t, str) and k == "paragraph" and "\n" not in t and len(t) <= 90 and key_of(t) in known for t, k in zip(f["text"], f["block_type"], strict=True)]
+    return f
+
+
+def mapped(blocks: DataFrame, groups: DataFrame, keys: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` over each group of pages and its repeated keys."""
+    names = [c.split()[0] for c in re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", schema)).split(", ")]
+
+    def each(f: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
+        return run(f, k) if len(f) else pd.DataFrame({c: [] for c in names})
 
+    a = groups.select(*[F.col(c).alias(c) for c in groups.columns])  # new columns, as both sides come from one table
+    b = keys.select(F.col("document_id").alias("book"), F.col("pages").alias("part"), "key")
+    return a.groupBy("document_id", "pages").cogroup(b.groupBy("book", "part")).applyInPandas(each, schema)
 
-def model_of(groups: DataFrame, most: int = TRAIN_GROUPS) -> Model:
+
+def model_of(blocks: DataFrame, groups: DataFrame, repeated: DataFrame, most: int = TRAIN_GROUPS) -> Model:
     """The model, trained on the page groups with the least hashes; their symbols, some 20,000 small numbers each at
     most, are all that comes to the driver."""
-    keys = groups.select("document_id", "pages").distinct().orderBy(F.xxhash64("document_id", "pages"), "document_id", "pages").limit(most)
+    keys = blocks.select("document_id", F.floor(F.col("page_start") / PAGES).alias("pages")).distinct().orderBy(F.xxhash64("document_id", "pages"), "document_id", "pages").limit(most).persist()
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        rows = symbols(f.sort_values(["ordinal", "block_id"]))[:20_000]
+    def run(f: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
+        rows = symbols(in_order(f, k))[:20_000]
         return pd.DataFrame({"s": [[r[3] for r in rows]], "w": [[r[4] for r in rows]]})
 
-    got = groups.join(keys, ["document_id", "pages"], "left_semi").groupBy("document_id", "pages").applyInPandas(run, "s array<int>, w array<int>").collect()
+    by = ["document_id", "pages"]
+    got = mapped(blocks, groups.join(keys, by, "left_semi"), repeated.join(keys, by, "left_semi"), run, "s array<int>, w array<int>").collect()
     return Model.trained([(np.array(r.s, int), np.array(r.w, int)) for r in got])
 
 
+def label_group(f: pd.DataFrame, model: Model) -> Iterator[tuple[int, list[str], list[int], bool, str]]:
+    """(row, lines, labels, whether the paragraph goes on, the next block's first body line) of a group's own rows, last first."""
+    rows = symbols(f)
+    path = model.path(np.array([r[3] for r in rows], int)).tolist()
+    n = len(f)
+    lines: list[list[str]] = [[] for _ in range(n)]
+    labels: list[list[int]] = [[] for _ in range(n)]
+    ends = [1] * n
+    for (i, _, line, symbol, _), label in zip(rows, path, strict=True):
+        lines[i].append(line)
+        labels[i].append(label)
+        if label:
+            ends[i] = symbol % 4
+    own, types = (f["home"] == f["pages"]).tolist(), f["block_type"].tolist()
+    nxt = ""
+    for i in range(n - 1, -1, -1):
+        body = [k for k in labels[i] if k]
+        if own[i]:
+            yield i, lines[i], labels[i], bool(body) and body[-1] == 1 and ends[i] == 2, nxt
+        if body and types[i] != "figure_label":
+            nxt = next(x for x, k in zip(lines[i], labels[i], strict=True) if k)
+
+
 _LINES = "block_id string, document_id string, block_type string, page_start bigint, page_end bigint, ordinal bigint, lines array<string>, labels array<int>, goes_on boolean, next_line string"
 
 
@@ -265,74 +337,97 @@ def labelled(blocks: DataFrame) -> DataFrame:
     block on the next page, and that block's first body line."""
     spark = blocks.sparkSession
     ship(spark)
-    groups = grouped(with_repeats(blocks)).persist(StorageLevel.MEMORY_AND_DISK)
-    sent = spark.sparkContext.broadcast(model_of(groups))
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["ordinal", "block_id"]).reset_index(drop=True)
-        rows = symbols(f)
-        path = sent.value.path(np.array([r[3] for r in rows], int))
-        lines: dict[int, list[str]] = defaultdict(list)
-        labels: dict[int, list[int]] = defaultdict(list)
-        ends: dict[int, int] = {}
-        for (i, _, line, symbol, _), label in zip(rows, path.tolist(), strict=True):
-            lines[i].append(line)
-            labels[i].append(label)
-            if label:
-                ends[i] = symbol % 4
-        out = []
-        nxt = ""
-        for i in range(len(f) - 1, -1, -1):
-            r = f.iloc[i]
-            body = [x for x, k in zip(lines[i], labels[i], strict=True) if k]
-            last = [k for k in labels[i] if k]
-            if r["home"] == r["pages"]:
-                goes_on = bool(body) and last[-1] == 1 and ends[i] == 2
-                out.append((r["block_id"], r["document_id"], r["block_type"], r["page_start"], r["page_end"], r["ordinal"], lines[i], labels[i], goes_on, nxt))
-            if body and r["block_type"] != "figure_label":
-                nxt = body[0]
+    groups, keys = grouped(blocks), repeated_keys(blocks).persist(StorageLevel.MEMORY_AND_DISK)
+    sent = spark.sparkContext.broadcast(model_of(blocks, groups, keys))
+
+    def run(f: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
+        f = in_order(f, k)
+        facts = list(zip(*(f[c].tolist() for c in ("block_id", "document_id", "block_type", "page_start", "page_end", "ordinal")), strict=True))
+        out = [(*facts[i], lines, labels, on, nxt) for i, lines, labels, on, nxt in label_group(f, sent.value)]
         return pd.DataFrame(out, columns=["block_id", "document_id", "block_type", "page_start", "page_end", "ordinal", "lines", "labels", "goes_on", "next_line"])
 
-    return groups.groupBy("document_id", "pages").applyInPandas(run, _LINES)
+    return mapped(blocks, groups, keys, run, _LINES)
+
+
+_FACTS = "block_id string, furniture boolean, inline boolean, goes_on boolean, words array<string>, breaks array<struct<joined:string,hyphened:string,sure:boolean>>"
+
+
+def examined(blocks: DataFrame, only: list[str] | None) -> DataFrame:
+    """What ``findings`` needs of each block, without its text: the layout, its words (of those in ``only`` if given)
+    and its broken words."""
+    spark = blocks.sparkSession
+    ship(spark)
+    groups, keys = grouped(blocks), repeated_keys(blocks).persist(StorageLevel.MEMORY_AND_DISK)
+    sent = spark.sparkContext.broadcast((model_of(blocks, groups, keys), None if only is None else frozenset(only)))
+
+    def run(f: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
+        model, wanted = sent.value
+        f = in_order(f, k)
+        ids, types = f["block_id"].tolist(), f["block_type"].tolist()
+        out = []
+        for i, lines, labels, on, nxt in label_group(f, model):
+            header = sum(k == 0 for k in labels)
+            whole = bool(labels) and header == len(labels)
+            words: list[str] = []
+            breaks: list[tuple[str, str, bool]] = []
+            if not whole:
+                text, found = break_parts(lines, labels, on, nxt)
+                breaks = [(j, h, by_letters(j, h, m)) for j, h, m in found]
+                if types[i] in RUNNING:
+                    each = {*_WORD.findall(text), *("3:" + g for g in han_triples(text))}
+                    words = sorted(each if wanted is None else each & wanted)
+            out.append((ids[i], whole, header > 0 and not whole, on, words, [{"joined": j, "hyphened": h, "sure": s} for j, h, s in breaks]))
+        return pd.DataFrame(out, columns=["block_id", "furniture", "inline", "goes_on", "words", "breaks"])
+
+    return mapped(blocks, groups, keys, run, _FACTS)
 
 
 # ---------------------------------------------------------------- words
 
 
-def words_of(text: str) -> Iterator[str]:
-    """The words of running text, those broken at line ends left out; for Han ``3:``/``2:`` triples and pairs of a
-    run, ``^`` and ``$`` at its ends."""
-    whole = _BROKEN.sub(" ", text)
-    whole = re.sub(rf"\w+[{MARKS}]\s*$", " ", whole)
-    yield from _WORD.findall(whole)
-    yield from han_grams(whole)
+def counted(text: str, words: Counter, triples: Counter, pairs: Counter) -> None:
+    """Adds a text's words, those broken at line ends left out, and the triples and pairs of its Han runs, ``^`` and ``$``
+    being their ends."""
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    if _MARKED.search(text):
+        text = re.sub(rf"\w+[{MARKS}]\s*$", " ", _BROKEN.sub(" ", text))
+    words.update(_WORD.findall(text))
+    if "\n" in text:
+        text = text.replace("\n", "")
+    for r in _RUN.findall(text):
+        if len(r) > 1:
+            t = f"^{r}$"
+            pairs.update(map("".join, zip(t, t[1:], strict=False)))
+            triples.update(map("".join, zip(t, t[1:], t[2:], strict=False)))
 
 
-def han_grams(text: str) -> Iterator[str]:
+def han_triples(text: str) -> Iterator[str]:
     for r in _RUN.findall(text.replace("\n", "")):
         if len(r) > 1:
             t = f"^{r}$"
-            for i in range(len(t) - 2):
-                yield f"3:{t[i : i + 3]}"
-                yield f"2:{t[i : i + 2]}"
-            yield f"2:{t[-2:]}"
+            yield from map("".join, zip(t, t[1:], t[2:], strict=False))
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
     """(word, n) over the running text of all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+        found: tuple[Counter, Counter, Counter] = (Counter(), Counter(), Counter())
+
+        def emit() -> pa.RecordBatch:
+            keys = [p + w for p, c in zip(("", "3:", "2:"), found, strict=True) for w in c]
+            counts = [n for c in found for n in c.values()]
+            for c in found:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
 
-        found: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                found.update(words_of(t))
-            if len(found) > 200_000:
-                yield emit(found)
-                found = Counter()
-        yield emit(found)
+                counted(t, *found)
+            if sum(map(len, found)) > 300_000:
+                yield emit()
+        yield emit()
 
     text = blocks.where(F.col("text").isNotNull() & F.col("block_type").isin(*RUNNING, "figure_caption", "section_heading")).select("text")
     return spread(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -355,15 +450,25 @@ def misread_words(counts: DataFrame) -> DataFrame:
     """(word, right): misread words and Han triples with what was printed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(w, n, r) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in unread(w)]
-            cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["wrong", "rare", "word"])
+        import xxhash
 
-    letters = counts.where(~F.col("word").startswith("3:") & ~F.col("word").startswith("2:"))
-    options = letters.mapInArrow(run, "wrong string, rare bigint, word string")
-    latin = options.join(letters, "word").where(F.col("n") >= F.col("rare") * RATIO)
-    latin = latin.groupBy("wrong").agg(F.max_by("word", F.struct("n", "word")).alias("right")).withColumnRenamed("wrong", "word")
+        for b in batches:
+            wrong: list[int] = []
+            rare: list[int] = []
+            right: list[int] = []
+            for w, n, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                options = unread(w)
+                wrong += [h] * len(options)
+                rare += [n] * len(options)
+                right += [xxhash.xxh64_intdigest(r.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(r.encode(), 42) >> 63 else 0) for r in options]
+            yield pa.RecordBatch.from_arrays([pa.array(wrong, pa.int64()), pa.array(rare, pa.int64()), pa.array(right, pa.int64())], names=["wrong", "rare", "h"])
+
+    # words are joined by the 64-bit hash that Spark's xxhash64 gives, a third of their size; the words found are compared again
+    letters = counts.where(~F.col("word").startswith("3:") & ~F.col("word").startswith("2:")).withColumn("h", F.xxhash64("word"))
+    options = letters.select("word", "n", "h").mapInArrow(run, "wrong bigint, rare bigint, h bigint")
+    latin = options.join(letters, "h").where(F.col("n") >= F.col("rare") * RATIO)
+    latin = latin.groupBy("wrong").agg(F.max_by("word", F.struct("n", "word")).alias("right"))
+    latin = latin.join(letters.select(F.col("h").alias("wrong"), "word"), "wrong").select("word", "right")
 
     tri = counts.where(F.col("word").startswith("3:")).select(F.substring("word", 3, 1).alias("a"), F.substring("word", 4, 1).alias("x"), F.substring("word", 5, 1).alias("b"), "n")
     best = tri.groupBy("a", "b").agg(F.max_by("x", F.struct("n", "x")).alias("y"), F.max("n").alias("m"))
@@ -377,7 +482,7 @@ def misread_words(counts: DataFrame) -> DataFrame:
         rare = pair(rare, p, q, name)
     rare = rare.where((F.col("ax") * RATIO <= F.col("ay")) & (F.col("xb") * RATIO <= F.col("yb")))
     han = rare.select(F.concat(F.lit("3:"), "a", "x", "b").alias("word"), F.concat("a", "y", "b").alias("right"))
-    return latin.select("word", "right").unionByName(han)
+    return latin.unionByName(han)
 
 
 _PARTS = pa.schema([("block_id", pa.string()), ("kind", pa.string()), ("word", pa.string()), ("other", pa.string()), ("sure", pa.bool_())])
@@ -385,17 +490,17 @@ _PARTS = pa.schema([("block_id", pa.string()), ("kind", pa.string()), ("word", p
 
 def break_parts(lines: list[str], labels: list[int], goes_on: bool, next_line: str) -> tuple[str, list[tuple[str, str, str]]]:
     """The running text of a block with broken words joined, and its breaks (joined, with hyphen, mark)."""
-    body = [x for x, k in zip(lines, labels, strict=True) if k]
-    text = "\n".join(body)
+    text = "\n".join(x for x, k in zip(lines, labels, strict=True) if k)
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
     tail = goes_on and re.search(rf"\w[{MARKS}]\s*$", text) is not None
     whole = text + "\n" + next_line if tail else text
     breaks = []
-    for m in _BROKEN.finditer(whole):
+    for m in _BROKEN.finditer(whole) if _MARKED.search(whole) else ():
         mark = whole[m.end(1)]
         head = m[1].lstrip("-")
         breaks.append((head + m[2], head + "-" + m[2], mark))
-    joined = _BROKEN.sub(lambda m: m[1] + m[2], whole if tail else text)
-    return joined, breaks
+    return _BROKEN.sub(lambda m: m[1] + m[2], whole) if breaks else whole, breaks
 
 
 def by_letters(joined: str, hyphened: str, mark: str) -> bool:
@@ -417,7 +522,7 @@ def parts_of(lines: DataFrame, only: list[str] | None) -> DataFrame:
                 for j, h, mark in breaks:
                     rows.append((r["block_id"], "break", j, h, by_letters(j, h, mark)))
                 if r["block_type"] in RUNNING:
-                    words = {*_WORD.findall(text), *(g for g in han_grams(text) if g[0] == "3")}
+                    words = {*_WORD.findall(text), *("3:" + g for g in han_triples(text))}
                     rows += [(r["block_id"], "word", w, None, None) for w in (words if wanted is None else words & wanted)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _PARTS.types, strict=True)], schema=_PARTS)
@@ -432,23 +537,31 @@ def word_findings(lines: DataFrame, counts: DataFrame, most: int = MOST_MISREAD)
     few = wrong.select("word").limit(most + 1).collect()
     parts = parts_of(lines, [r.word for r in few] if len(few) <= most else None).persist(StorageLevel.MEMORY_AND_DISK)
     misread = parts.where("kind = 'word'").join(wrong, "word").select("block_id", F.lit("misread").alias("kind"), "word", "right")
-    breaks = parts.where("kind = 'break'")
-    whole = counts.select("word", F.col("n").alias("whole"))
-    hyphened = counts.select(F.col("word").alias("other"), F.col("n").alias("hyphened"))
-    at = breaks.join(whole, "word", "left").join(hyphened, "other", "left")
-    joined = F.when(F.coalesce("whole", "hyphened").isNull(), F.col("sure")).otherwise(F.coalesce("whole", F.lit(0)) >= F.coalesce("hyphened", F.lit(0)))
-    return misread.unionByName(at.where(joined).select("block_id", F.lit("hyphen").alias("kind"), F.col("other").alias("word"), F.col("word").alias("right")))
+    breaks = parts.where("kind = 'break'").select("block_id", F.col("word").alias("joined"), F.col("other").alias("hyphened"), "sure")
+    return misread.unionByName(joined_breaks(breaks, counts).select("block_id", F.lit("hyphen").alias("kind"), F.col("hyphened").alias("word"), F.col("joined").alias("right")))
+
+
+def joined_breaks(breaks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Of broken words (block_id, joined, hyphened, sure) those whose mark isn't part of the word."""
+    at = breaks.join(counts.select(F.col("word").alias("joined"), F.col("n").alias("whole")), "joined", "left").join(counts.select(F.col("word").alias("hyphened"), F.col("n").alias("parts")), "hyphened", "left")
+    return at.where(F.when(F.coalesce("whole", "parts").isNull(), F.col("sure")).otherwise(F.coalesce("whole", F.lit(0)) >= F.coalesce("parts", F.lit(0)))).select("block_id", "joined", "hyphened")
 
 
-def findings(blocks: DataFrame) -> DataFrame:
+def findings(blocks: DataFrame, most: int = MOST_MISREAD) -> DataFrame:
     """(block_id, kind): what scanning did to each block of scanned books."""
-    lines = labelled(scanned(blocks)).persist(StorageLevel.MEMORY_AND_DISK)
-    headers = F.size(F.filter("labels", lambda x: x == 0))
-    furniture = (F.size("labels") > 0) & (headers == F.size("labels"))
-    layout = lines.select("block_id", F.when(furniture, "furniture").when(headers > 0, "inline").alias("kind")).where("kind is not null")
-    on = lines.where("goes_on").select("block_id", F.lit("continued").alias("kind"))
-    words = word_findings(lines.where(~furniture), word_counts(blocks)).select("block_id", "kind")
-    return layout.unionByName(on).unionByName(words).distinct()
+    ship(blocks.sparkSession)
+    counts = word_counts(blocks).persist(StorageLevel.MEMORY_AND_DISK)
+    wrong = misread_words(counts).persist(StorageLevel.MEMORY_AND_DISK)
+    few = wrong.select("word").limit(most + 1).collect()
+    known = len(few) <= most
+    facts = examined(scanned(blocks), [r.word for r in few] if known else None).persist(StorageLevel.MEMORY_AND_DISK)
+    kinds = F.array_compact(F.array(F.when(F.col("furniture"), "furniture"), F.when(F.col("inline"), "inline"), F.when(F.col("goes_on"), "continued"), F.when(F.lit(known) & (F.size("words") > 0), "misread")))
+    out = facts.select("block_id", F.explode(kinds).alias("kind"))
+    if not known:
+        each = facts.select("block_id", F.explode("words").alias("word")).join(wrong, "word", "left_semi")
+        out = out.unionByName(each.select("block_id", F.lit("misread").alias("kind")).distinct())
+    breaks = facts.select("block_id", F.explode("breaks").alias("b")).select("block_id", "b.*")
+    return out.unionByName(joined_breaks(breaks, counts).select("block_id", F.lit("hyphen").alias("kind")).distinct()).distinct()
 
 
 def paragraphs(blocks: DataFrame) -> DataFrame:
@@ -457,7 +570,7 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     ship(blocks.sparkSession)
     lines = labelled(scanned(blocks)).persist(StorageLevel.MEMORY_AND_DISK)
     body = lines.where(F.exists("labels", lambda x: x > 0))
-    fixes = word_findings(body, word_counts(blocks)).groupBy("block_id").agg(F.collect_set(F.struct("kind", "word", "right")).alias("fixes"))
+    fixes = word_findings(body, word_counts(blocks).persist(StorageLevel.MEMORY_AND_DISK)).groupBy("block_id").agg(F.collect_set(F.struct("kind", "word", "right")).alias("fixes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
