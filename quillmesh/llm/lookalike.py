@@ -9,7 +9,7 @@ Then script-aware repair, the method: the dominant script of each token of Latin
 determined, and look-alikes are substituted only in tokens of mixed script, and only where the result
 exists in the vocabulary of the corpus. A token that consists of look-alikes of one other script throughout (a short
 word or acronym) counts as mixed with its text: it is repaired if the text has no unmistakable letter of the
-token's script, or mostly letters of the other one, and the result is the more frequent word in texts of that script.
+token's script, or mostly letters of the other one, and the result is at least as frequent a word in texts of that script.
 
 The vocabulary covers the tokens of all texts and stays distributed; suspicious tokens are joined with it by
 shuffle. Null texts and null ids give no rows; empty texts stay empty. Repeated rows of a record count once.
@@ -221,7 +221,7 @@ def chosen_repairs(forms: DataFrame, words: DataFrame) -> DataFrame:
     asked = options.select(F.col("folded").alias("word"), "context").union(options.select(F.col("own").alias("word"), "context")).distinct()
     known = words.join(asked, ["word", "context"], "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
     options = options.join(known.withColumnsRenamed({"word": "folded"}), ["folded", "context"]).join(known.withColumnsRenamed({"word": "own", "n": "own_n"}), ["own", "context"], "left")
-    better = options.where("own_n is null or n > own_n")  # a mixed token is never in the vocabulary itself
+    better = options.where("own_n is null or n >= own_n")  # a mixed token is never in the vocabulary itself
     best = better.withColumn("__n", F.row_number().over(Window.partitionBy("token", "context", "results").orderBy(F.desc("n"), "rank"))).where("__n = 1")
     got = each.join(best.select("token", "context", "results", "result"), ["token", "context", "results"])
     return got.groupBy("record_kind", "id").agg(F.collect_set(F.struct("token", "result")).alias("repairs"))
