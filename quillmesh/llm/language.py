@@ -39,10 +39,13 @@ NO_LABEL = ("", "und", "unknown")
 DIMENSIONS = 2048
 GRAMS = (1, 2, 3)
 TRAIN_PER_LANGUAGE = 400
-SWITCH = 0.25
+SWITCH = 0.06
 LEAST_LETTERS = 4
+#: Letters that a sentence in Latin, Greek or Cyrillic must have to count as one.
+WHOLE_LETTERS = 10
 REMEMBER = 300_000
-_NOISE = re.compile(r"[A-Za-z]\w*\([^()\n]*\)|\b\w*_\w*|https?://\S+|\b\w+(?:\.\w+)+\b|\[\d+:\d+\]|\b\w*\d\w*\b|\b[A-Z][A-Za-z]*[A-Z]\w*\b|(?<=[A-Za-zÀ-ÿ])[-‐¬­]\s*\n\s*")
+_NOISE = re.compile(r"[A-Za-z]\w*\([^()]{0,60}\)|\b\w*_\w*|https?://\S+|\b\w+(?:\.\w+)+\b|\[\d+:\d+\]|\b\w*\d\w*\b|\b[A-Z][A-Za-z]*[A-Z]\w*\b|(?<=[A-Za-zÀ-ÿ])[-‐¬­]\s*\n\s*")
+_ALPHABETS = re.compile("[a-zß-ÿͰ-ӿ]")
 _WORDS = re.compile(r"(?:(?![\d_])\w|[̀-ͯऀ-ःऺ-ॏ॑-ॗॢॣัิ-ฺ็-๎])+")
 
 
@@ -192,28 +195,29 @@ def best_path(scores: np.ndarray, switch: float = SWITCH) -> list[int]:
 
 def segments_of(text: str | None, space: Space) -> list[dict]:
     """Stretches of one language: start, end, lang, sentences, letters, confidence."""
-    spans, rows, sizes = [], [], []
+    spans, rows, sizes, whole = [], [], [], []
     for a, b in sentence_spans(text):
         words = letters_of(text[a:b])  # type: ignore[index]
         size = sum(c.isalpha() for c in words)
         if size >= LEAST_LETTERS or size and any(unicodedata.east_asian_width(c) == "W" for c in words):
             spans.append((a, b))
             sizes.append(size)
+            whole.append(int(size >= WHOLE_LETTERS or not _ALPHABETS.search(words)))
             rows.append(space.cosines(grams_of(words)))
     if not spans:
         return []
     scores = np.stack(rows)
     weight = np.minimum(1.0, np.array(sizes) / 20.0)[:, None]
     out: list[dict] = []
-    for (a, b), size, lang, cos in zip(spans, sizes, best_path(scores * weight), scores, strict=True):
+    for (a, b), size, one, lang, cos in zip(spans, sizes, whole, best_path(scores * weight), scores, strict=True):
         others = np.delete(cos, lang).max()
         sure = float(np.clip(0.5 + (cos[lang] - others) / (2 * max(abs(cos[lang]), abs(others), 1e-9)), 0, 1))
         if out and out[-1]["lang"] == LANGUAGES[lang]:
             s = out[-1]
             s["confidence"] = (s["confidence"] * s["letters"] + sure * size) / (s["letters"] + size)
-            s["end"], s["sentences"], s["letters"] = b, s["sentences"] + 1, s["letters"] + size
+            s["end"], s["sentences"], s["letters"] = b, s["sentences"] + one, s["letters"] + size
         else:
-            out.append({"start": a, "end": b, "lang": LANGUAGES[lang], "sentences": 1, "letters": size, "confidence": sure})
+            out.append({"start": a, "end": b, "lang": LANGUAGES[lang], "sentences": one, "letters": size, "confidence": sure})
     return out
 
 

@@ -159,7 +159,7 @@ def symbols(f: pd.DataFrame) -> list[tuple[int, int, str, int, int]]:
                 end = 1
             else:
                 nxt = after[i]
-                goes_on = nxt is not None and types[nxt] == "paragraph" and first[nxt] in (last[i] + 1, last[i]) and first[nxt] > first[i]
+                goes_on = nxt is not None and types[nxt] == "paragraph" and first[nxt] == last[i] + 1
                 end = 2 if goes_on else 3
             kind = kinds[i][j]
             symbol = (((kind * 2 + edge[i]) * 2 + alone) * 2 + para) * 4 + end
