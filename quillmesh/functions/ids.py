@@ -7,9 +7,8 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The URL name space of UUIDs and the name prefix of points.
+#: The URL name space of UUIDs.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
-POINT_PREFIX = "rag-lab:chunk:"
 
 
 def content_hash(content: Column) -> Column:
@@ -38,9 +37,9 @@ def block_id(*parts: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(*framed), 256))
 
 
-def point_id(chunk: Column) -> Column:
-    """UUID version 5 of a chunk id."""
-    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(F.concat(F.lit(POINT_PREFIX), chunk), "UTF-8")))
+def point_id(chunk: Column, prefix: str = "chunk:") -> Column:
+    """UUID version 5 of a chunk id under the URL name space; ``prefix`` is that of the collection to agree with."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(F.concat(F.lit(prefix), chunk), "UTF-8")))
     nibble = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(nibble, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 

@@ -80,7 +80,8 @@ def test_ids(spark):
     payload = json.dumps({"block_ids": ["x", "y"], "chunking_version": "1.1.0", "content_hash": "sha256:1", "document_id": "doc", "heading_path": ["章", "a\x1fb"]}, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
     got = df.select(ids.chunk_id(*[F.col(c) for c in "dhbcv"])).first()[0]
     assert got == "sha256:" + hashlib.sha256(payload.encode()).hexdigest()
-    assert one(spark, "abc", ids.point_id) == str(uuid.uuid5(uuid.NAMESPACE_URL, "rag-lab:chunk:abc"))
+    for i in range(9):
+        assert one(spark, f"abc{i}", lambda c: ids.point_id(c, "some:")) == str(uuid.uuid5(uuid.NAMESPACE_URL, f"some:abc{i}"))
     parts = ["d", "版", "7"]
     framed = b"".join(len(p.encode()).to_bytes(8, "big") + p.encode() for p in parts)
     assert spark.range(1).select(ids.block_id(*[F.lit(p) for p in parts])).first()[0] == "sha256:" + hashlib.sha256(framed).hexdigest()
