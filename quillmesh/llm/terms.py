@@ -136,7 +136,7 @@ def term_counts(records: DataFrame, vocabulary: DataFrame | None = None, most_te
             for w in sent.value:
                 automaton.add_word(w, w)
             automaton.make_automaton()
-        for b in batches:
+        for b in (part.slice(i, 512) for part in batches for i in range(0, part.num_rows, 512)):  # bounds the counts in memory
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = fold(t or "")
