@@ -71,7 +71,8 @@ class Space:
     def __init__(self, prototypes: np.ndarray | None = None, d: int = DIMENSIONS) -> None:
         self.d, self.prototypes = d, prototypes
         self.letters: dict[str, np.ndarray] = {}
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, int] = {}  # the row of an n-gram in the table of products
+        self.table = np.zeros((4096, 0 if prototypes is None else len(prototypes)), np.float32)
 
     def letter(self, c: str) -> np.ndarray:
         v = self.letters.get(c)
@@ -97,22 +98,27 @@ class Space:
 
     def products(self, grams: Counter) -> np.ndarray:
         """For each language the bundle's product with its prototype, by the n-grams."""
-        new = [g for g in grams if g not in self.known]
+        known = self.known
+        new = [g for g in grams if g not in known]
         if new:
-            if len(self.known) + len(new) > REMEMBER:
-                self.known.clear()
+            if len(known) + len(new) > REMEMBER:
+                known.clear()
                 new = list(grams)
+            while len(known) + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             for i in range(0, len(new), 2048):
                 part = new[i : i + 2048]
-                for g, p in zip(part, np.stack([self.bound(g) for g in part]).astype(np.float32) @ self.prototypes.T, strict=True):
-                    self.known[g] = p
-        return np.array([self.known[g] for g in grams]).T @ np.fromiter(grams.values(), np.float32, len(grams))
+                at = len(known)
+                self.table[at : at + len(part)] = np.stack([self.bound(g) for g in part]).astype(np.float32) @ self.prototypes.T
+                known.update(zip(part, range(at, at + len(part)), strict=True))
+        rows = self.table[[known[g] for g in grams]]
+        return np.fromiter(grams.values(), np.float32, len(grams)) @ rows
 
     def cosines(self, grams: Counter) -> np.ndarray:
         if not grams:
             return np.zeros(len(self.prototypes))
-        length = np.sqrt(self.d * sum(n * n for n in grams.values()))
-        return self.products(grams) / length
+        counts = np.fromiter(grams.values(), np.float32, len(grams))
+        return self.products(grams) / np.sqrt(self.d * float(counts @ counts))
 
 
 def normal_label(label: Column) -> Column:
