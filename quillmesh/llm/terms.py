@@ -8,10 +8,11 @@ and tfn = tf * log2(1 + c * avgdl / dl), a term scores
 the information content under the geometric (Bose-Einstein) model times the after-effect gain of Laplace.
 
 Terms: text is folded for width and case first. Words of scripts that write spaces are runs of letters, marks and
-digits. Runs of Han, kana, Thai and other scripts without spaces give every character n-gram of the lengths ``GRAMS``;
-their length is counted in characters. With a vocabulary the scores are of its entries wherever they stand: an entry
-that begins or ends with a Latin letter or a digit must not stand inside a longer word or number there, any other
-entry counts wherever it occurs, overlapping occurrences included.
+digits that begin with a letter or digit. Runs of Han, kana, Thai and other scripts without spaces give every character
+n-gram of the lengths ``GRAMS``, 1 to 16, and a longer run itself; other substrings of more than 16 characters get no
+score, as a run of n characters has about n * n / 2 of them. Their length is counted in characters. With a vocabulary the
+scores are of its entries wherever they stand: an entry that begins or ends with a Latin letter or a digit must not stand
+inside a longer word or number there, any other entry counts wherever it occurs, overlapping occurrences included.
 
 A vocabulary of at most ``MOST_TERMS`` terms is looked for with one automaton, sent to the workers; a larger one is
 joined with the terms of the texts by shuffle, to the same result. Statistics cover all records, repeated ids once. Null and empty
@@ -32,12 +33,15 @@ from pyspark.sql import functions as F
 
 from quillmesh.session import ship, spread
 
-GRAMS = (2, 3, 4)
+#: Lengths of the terms of scripts without spaces; a longer run is one term more, as a whole.
+GRAMS = tuple(range(1, 17))
 C = 1.0
 MOST_TERMS = 200_000
 #: Scripts without spaces between words, as ranges of code points (fixed values).
 _NO_SPACES = "฀-໿က-႟ក-៿々-〇぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
-_RUN = re.compile(f"[{_NO_SPACES}]+|(?:(?![{_NO_SPACES}_])[\\ẁ-ͯ])+")
+#: Combining marks of the scripts with spaces: vowel signs, viramas and accents belong to the word before them.
+_MARKS = "".join(c for c in map(chr, [*range(0x20000), *range(0xE0100, 0xE01F0)]) if unicodedata.category(c)[0] == "M")
+_RUN = re.compile(f"[{_NO_SPACES}]+|(?![{_NO_SPACES}_])\\w(?:(?![{_NO_SPACES}_])[\\w{_MARKS}])*")
 _UNSPACED = re.compile(f"[{_NO_SPACES}]")
 _ODD = re.compile("[＀-￯゙゚̀-ͯᄀ-ᇿ豈-﫿]")
 _WIDTH = {i: unicodedata.normalize("NFKC", chr(i)) for i in range(0xFF00, 0xFFF0) if unicodedata.decomposition(chr(i)).startswith(("<wide>", "<narrow>"))}
@@ -76,13 +80,15 @@ def units(folded: str) -> int:
     return sum(len(r) if _UNSPACED.match(r) else 1 for r in _RUN.findall(folded))
 
 
-def all_terms(folded: str, grams: tuple[int, ...] = GRAMS) -> Counter:
-    """Every term of a folded text with its count."""
+def all_terms(folded: str, grams: tuple[int, ...] | None = None) -> Counter:
+    """Every term of a folded text with its count; with ``grams`` only the n-grams of these lengths and the words."""
     out: Counter = Counter()
     for r in _RUN.findall(folded):
         if _UNSPACED.match(r):
-            for n in grams:
+            for n in GRAMS if grams is None else grams:
                 out.update(r[i : i + n] for i in range(len(r) - n + 1))
+            if grams is None and len(r) > GRAMS[-1]:
+                out[r] += 1
         else:
             out[r] += 1
     return out
@@ -107,9 +113,6 @@ def every_start(folded: str, lengths: list[int]) -> Counter:
     return out
 
 
-_COUNTS = pa.schema([("record_id", pa.string()), ("dl", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())])))])
-
-
 def term_counts(records: DataFrame, vocabulary: DataFrame | None = None, most_terms: int = MOST_TERMS) -> DataFrame:
     """(record_id, dl, terms: array of term and tf) of records (record_id, text), one row each, so that repeated rows
     are found by their ids alone. ``vocabulary`` has a column ``term`` of folded terms."""
@@ -136,13 +139,17 @@ def term_counts(records: DataFrame, vocabulary: DataFrame | None = None, most_te
             for w in sent.value:
                 automaton.add_word(w, w)
             automaton.make_automaton()
-        for b in (part.slice(i, 512) for part in batches for i in range(0, part.num_rows, 512)):  # bounds the counts in memory
-            rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in (part.slice(i, 128) for part in batches for i in range(0, part.num_rows, 128)):  # bounds the counts in memory
+            sizes, at, found_terms, tfs = [], [0], [], []
+            for t in b.column(1).to_pylist():
                 text = fold(t or "")
                 counts = all_terms(text) if every else count_in(text, automaton) if automaton else every_start(text, lengths)
-                rows.append({"record_id": i, "dl": units(text), "terms": [{"term": w, "tf": n} for w, n in counts.items()]})
-            yield pa.RecordBatch.from_pylist(rows, schema=_COUNTS)
+                sizes.append(units(text))
+                found_terms += counts.keys()
+                tfs += counts.values()
+                at.append(len(found_terms))
+            found = pa.StructArray.from_arrays([pa.array(found_terms, pa.string()), pa.array(tfs, pa.int64())], names=["term", "tf"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), found)], names=["record_id", "dl", "terms"])
 
     source = records.where("record_id is not null").select(F.col("record_id").cast("string"), "text")
     out = spread(source).mapInArrow(run, "record_id string, dl bigint, terms array<struct<term:string,tf:bigint>>").dropDuplicates(["record_id"])

@@ -139,6 +139,15 @@ def test_all_terms(spark):
     assert terms.fold("ﾊﾟｹｯﾄ ＡＢ") == "パケット ab"
 
 
+def test_words_keep_their_marks_and_unspaced_runs_all_lengths(spark):
+    assert terms.all_terms("नमूने मिलीसेकंड கணினி ❤\ufe0f") == Counter({"नमूने": 1, "मिलीसेकंड": 1, "கணினி": 1}) and terms.units("नमूने मिलीसेकंड") == 2
+    run = "动态主机配置协议服务器地址池分配表格"
+    assert terms.all_terms("帧") == Counter({"帧": 1}) and len(run) == 18
+    assert set(terms.all_terms(run)) == {run[i:j] for i in range(18) for j in range(i + 1, 19) if j - i != 17}
+    got = terms.scores(records(spark, [("a", "帧 नमूने โปรโตคอล"), ("b", "x")])).collect()
+    assert {"帧", "नमूने", "โปรโตคอล"} <= {r.term for r in got if r.record_id == "a"} and all(r.score > 0 for r in got)
+
+
 def split(text):
     return [text[a:b] for a, b in sentences.sentence_spans(text)]
 
