@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import ids
-from quillmesh.functions.text import CLOSERS, TERMINATORS, index_text
-from quillmesh.operators.sequences import ATOMIC, SPLITTABLE, body_groups, content_units
+from quillmesh.functions.text import CLOSERS, TERMINATORS, index_text, is_blank
+from quillmesh.operators.sequences import ATOMIC, CONTROL, NOT_INDEXED, SPLITTABLE, body_groups, content_units
 from quillmesh.session import ship
 
 _END = re.compile(rf"[{re.escape(TERMINATORS)}][{re.escape(CLOSERS)}]*")
@@ -120,9 +120,11 @@ _DRAFT = "document_id string, group_no bigint, draft_no int, heading_path array<
 
 
 def drafts(blocks: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
-    """Chunk drafts of body blocks. A task holds one group: the body under one heading."""
+    """Chunk drafts of body blocks. A task holds one group: the body under one heading. Blocks without a heading path are
+    packed under the empty path; headings without text end a group as others do."""
     ship(blocks.sparkSession)
-    units = content_units(body_groups(blocks.where(F.col("text").isNotNull() & (F.size("heading_path") > 0))))
+    pathed = blocks.withColumn("heading_path", F.coalesce("heading_path", F.array().cast("array<string>")))
+    units = content_units(body_groups(pathed.where(F.col("text").isNotNull() | F.col("block_type").isin(*CONTROL))))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("unit_no")
@@ -156,3 +158,13 @@ def report(drafted: DataFrame, blocks: DataFrame) -> DataFrame:
     """One row of counters (AGG8)."""
     counts = drafted.agg(F.count("*").alias("output_chunk_count"), F.sum("joins").alias("cross_page_joins"), F.sum("splits").alias("split_units"), F.sum("atomic").alias("oversized_atomic_units"), F.count_if(F.col("overlap_chars") > 0).alias("overlapped_chunks"), F.sum("overlap_chars").alias("overlap_chars"))
     return counts.join(F.broadcast(blocks.agg(F.count("*").alias("input_block_count"))))
+
+
+def bounds(blocks: DataFrame, drafted: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
+    """(kind, n): chunks over the limit with a block that isn't atomic, and body blocks with text, whatever their heading
+    path, that are in no chunk."""
+    body = blocks.where(~F.col("block_type").isin(*CONTROL, *NOT_INDEXED) & ~is_blank(F.col("text"))).select(F.col("block_id").alias("x"), "block_type")
+    long = drafted.where(F.char_length("content") + F.char_length(F.array_join("heading_path", "\n")) + len(GAP) > config.max_chars).select(F.explode("block_ids").alias("x"))
+    long = long.join(body.where(F.col("block_type").isin(*ATOMIC)).select("x"), "x", "left_anti")
+    lost = body.join(drafted.select(F.explode("block_ids").alias("x")), "x", "left_anti")
+    return long.agg(F.lit("long").alias("kind"), F.count("*").alias("n")).unionByName(lost.agg(F.lit("lost").alias("kind"), F.count("*").alias("n")))

@@ -242,9 +242,4 @@ def chunking_report(spark: SparkSession, d: str) -> DataFrame:
 def chunk_pack_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Chunks over the limit that hold more than one unit or no atomic one, and body blocks in no chunk: none of either."""
     b = blocks_of(spark, d)
-    drafted = chunking.drafts(b)
-    body = sequences.body_groups(b.where(F.col("text").isNotNull() & (F.size("heading_path") > 0)))
-    atomic = body.where(F.col("block_type").isin(*sequences.ATOMIC)).select(F.col("block_id").alias("x"))
-    long = drafted.where(F.char_length("content") + F.char_length(F.array_join("heading_path", "\n")) + 2 > 1200).select(F.explode("block_ids").alias("x")).join(atomic, "x", "left_anti")
-    lost = body.select(F.col("block_id").alias("x"), text.is_blank(F.col("text")).alias("blank")).where("not blank").join(drafted.select(F.explode("block_ids").alias("x")), "x", "left_anti")
-    return long.agg(F.lit("long").alias("kind"), F.count("*").alias("n")).unionByName(lost.agg(F.lit("lost").alias("kind"), F.count("*").alias("n")))
+    return chunking.bounds(b, chunking.drafts(b))

@@ -80,6 +80,17 @@ def test_chunk_pipeline(spark):
     assert {x.chunk_id for x in got} == {x.chunk_id for x in chunking.chunks(b.withColumn("ordinal", F.col("ordinal") + 5), ChunkingConfig(100, 0)).collect()}
 
 
+def test_blocks_without_a_heading_path_are_packed(spark):
+    h = ["章"]
+    rows = [("甲。", "paragraph", 1, h), ("乙。", "paragraph", 1, None), ("丙。", "code", 1, []), ("丁。", "section_heading", 1, None), ("戊。", "paragraph", 1, None), (None, "paragraph", 1, None), (None, "section_heading", 1, None), ("己。", "paragraph", 1, None)]
+    b = blocks(spark, *rows)
+    got = chunking.chunks(b).orderBy("ordinal").collect()
+    assert [(r.heading_path, r.block_ids) for r in got] == [(h, ["b0"]), ([], ["b1", "b2"]), ([], ["b4"]), ([], ["b7"])] and all(r.chunk_id for r in got)
+    drafted = chunking.drafts(b)
+    assert {r.kind: r.n for r in chunking.bounds(b, drafted).collect()} == {"long": 0, "lost": 0}
+    assert {r.kind: r.n for r in chunking.bounds(b, drafted.where("size(heading_path) > 0")).collect()} == {"long": 0, "lost": 4}
+
+
 def test_skipped_label_breaks_a_continuation(spark):
     h = ["a"]
     b = blocks(spark, ("offen", "paragraph", 1, h), ("R1", "figure_label", 1, h), ("weiter.", "paragraph", 2, h))
