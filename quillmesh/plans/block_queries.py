@@ -225,6 +225,12 @@ def audit_summary(spark: SparkSession, d: str) -> DataFrame:
     return audit.summary(audit.block_issues(blocks_of(spark, d)).where("issue_code <> 'SUSPICIOUS_WORD_SPACING'"))
 
 
+@query()
+def audit_summary_all(spark: SparkSession, d: str) -> DataFrame:
+    """Issues of all codes by severity; the SQL of ``audit_summary`` leaves out SUSPICIOUS_WORD_SPACING."""
+    return audit.summary(audit.block_issues(blocks_of(spark, d)))
+
+
 @query()
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(blocks_of(spark, d)).select("chunk_id", "document_id", "ordinal", "page_start", "page_end", F.char_length("index_text").alias("chars"), F.array_join("block_ids", ",").alias("block_ids"))

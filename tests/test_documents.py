@@ -120,6 +120,14 @@ def test_boxes_against_brute_force(spark):
     assert got == {(p[0], q[0]) for p in a for q in b if p[1] < q[3] and q[1] < p[3] and p[2] < q[4] and q[2] < p[4]}
 
 
+def test_audit_summary_counts_word_spacing(spark, monkeypatch):
+    from quillmesh.plans import block_queries
+
+    b = blocks(spark, ("see www. example for it", "paragraph", 1, ["h"]), ("", "paragraph", 1, ["h"]))
+    monkeypatch.setattr(block_queries, "blocks_of", lambda spark, d: b)
+    assert {r.severity: r.n for r in block_queries.audit_summary_all(spark, "").collect()} == {"error": 1, "warning": 1}
+
+
 def test_audit(spark):
     rows = [("1. Overview", "paragraph"), (" ", "paragraph"), ("。", "paragraph"), ("x", "paragraph"), ("www. site", "paragraph"), ("Rx", "paragraph"), ("Ry", "paragraph"), ("Fig", "figure_caption"), ("offen", "paragraph"), (",", "paragraph")]
     b = blocks(spark, *[(t, k, 1, ["h"]) for t, k in rows])
