@@ -198,7 +198,7 @@ def first_forms(texts: DataFrame) -> DataFrame:
                 rows.append(
                     {
                         "record_kind": kind, "id": i, "raw": digest(raw), "canon": digest(form.encode("utf-8", "replace")), "text": form if odd else None,
-                        "tokens": [{"token": w, "context": to, "folded": w.casefold(), "results": [{"rank": k, "result": r, "folded": r.casefold()} for k, r in enumerate(rs)]} for w, rs in odd] or None,
+                        "tokens": [{"token": w, "context": to if len(counted(w)) == 1 else "", "folded": w.casefold(), "results": [{"rank": k, "result": r, "folded": r.casefold()} for k, r in enumerate(rs)]} for w, rs in odd] or None,
                     }
                 )
             yield pa.RecordBatch.from_pylist(rows, schema=_FORMS)
@@ -214,12 +214,14 @@ _FORMS_DDL = "record_kind string, id string, raw binary, canon binary, text stri
 
 
 def chosen_repairs(forms: DataFrame, words: DataFrame) -> DataFrame:
-    """(record_kind, id, repairs): of the suspicious tokens the repairs that the vocabulary confirms."""
+    """(record_kind, id, repairs): of the suspicious tokens the repairs that the vocabulary confirms. A token of mixed
+    script, whose context is empty, is confirmed by texts of any script, one all of look-alikes by texts of its context."""
     each = forms.where("tokens is not null").select("record_kind", "id", F.explode("tokens").alias("t")).select("record_kind", "id", "t.*")
     options = each.select("token", "context", "results", F.col("folded").alias("own")).distinct().withColumn("r", F.explode("results"))
     options = options.select("token", "context", "results", "own", "r.rank", "r.result", F.col("r.folded").alias("folded"))
     asked = options.select(F.col("folded").alias("word"), "context").union(options.select(F.col("own").alias("word"), "context")).distinct()
-    known = words.join(asked, ["word", "context"], "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    by_context = words.join(asked.select("word").distinct(), "word", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    known = by_context.unionByName(by_context.groupBy("word").agg(F.lit("").alias("context"), F.sum("n").alias("n")))
     options = options.join(known.withColumnsRenamed({"word": "folded"}), ["folded", "context"]).join(known.withColumnsRenamed({"word": "own", "n": "own_n"}), ["own", "context"], "left")
     better = options.where("own_n is null or n >= own_n")  # a mixed token is never in the vocabulary itself
     best = better.withColumn("__n", F.row_number().over(Window.partitionBy("token", "context", "results").orderBy(F.desc("n"), "rank"))).where("__n = 1")

@@ -194,3 +194,10 @@ def test_products_are_those_of_the_bundle():
     space = language.Space(protos)
     grams = language.grams_of(language.letters_of("The quick brown fox jumps."))
     assert np.allclose(space.products(grams), protos @ space.bundle(grams), rtol=1e-3, atol=1e-2)
+
+
+def test_mixed_tokens_are_confirmed_by_texts_of_any_script(spark):
+    latin = [("block", f"l{i}", "el sistema envia datos por la red") for i in range(4)]
+    cyrillic = "передача данных идёт быстро через другой узел "
+    df = spark.createDataFrame([*latin, ("block", "c", cyrillic + "\u0455i\u0455t\u0435ma")], "record_kind string, id string, text string")
+    assert {r.id: r.text for r in lookalike.normalized(df).collect()}["c"] == cyrillic + "sistema"
