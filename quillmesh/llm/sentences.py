@@ -441,7 +441,7 @@ def long_ends(texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 base, mark, place = r["i"] * chunk, -1, 0
                 for p, what in found:
                     if what & COMMIT:
-                        rows.append((r["key"], 2 * (base + p), place, "c", base + mark if mark > 0 else None))
+                        rows.append((r["key"], 2 * (base + p), place, "c", base + mark if mark >= 0 < base + mark else None))
                         mark, place = -1, place + 1
                     if what & BLANK:
                         q = _rstrip(t, p)
@@ -451,14 +451,14 @@ def long_ends(texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
                     mark = p + 1 if later & MARK else p if later & BEFORE else mark
                 q = _rstrip(t, len(t))
                 after = 2 * (base + len(t)) - 1  # after all of this chunk, before all of the next
-                rows.append((r["key"], after, place, "m", base + mark if mark > 0 else None))  # an open mark
+                rows.append((r["key"], after, place, "m", base + mark if mark >= 0 < base + mark else None))  # an open mark; without one that of a chunk before stays
                 rows.append((r["key"], after, place + 1, "s", base + q if q else None))  # the last character
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int64())], names=["key", "at", "place", "what", "p"])
 
     said = parts.join(entries, ["key", "i"]).select("key", "i", "part", "entry").mapInArrow(read, "key string, at bigint, place int, what string, p bigint")
     before = Window.partitionBy("key").orderBy("at", "place").rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.last(F.when(F.col("what") == "m", F.coalesce("p", F.lit(-1))).when(F.col("what") != "s", F.lit(-1)), True).over(before)
+    mark = F.last(F.when(F.col("what") == "m", F.col("p")).when(F.col("what") != "s", F.lit(-1)), True).over(before)
     seen = F.last(F.when(F.col("what") == "s", F.col("p")), True).over(before)
     said = said.select("key", "what", "at", "p", mark.alias("__m"), seen.alias("__s"))
     last = F.when(F.col("what") == "c", F.coalesce("p", F.when(F.col("__m") > 0, F.col("__m")))).when(F.col("what") == "b", F.coalesce("p", "__s"))

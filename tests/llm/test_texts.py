@@ -200,6 +200,14 @@ def test_long_texts_split_as_short_ones(spark):
         assert {k: v for k, v in got.items() if v} == {str(i): e for i, t in enumerate(texts) if (e := sentences.sentence_ends(t))}, chunk
 
 
+def test_marks_at_chunk_borders(spark):
+    texts = ["ระบบส่งข้อมูล เครือข่ายทำงาน แล้วหยุด ครับ จบแล้ว", "ก ข ค ง", " ส่งข้อมูลครับ รับข้อมูลแล้ว Wort. Ende 字。"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string")
+    for chunk in (1, 3, 7, texts[0].index(" "), texts[2].index(" ", 1)):
+        got = {r.key: r.ends for r in sentences.once_each(sentences.sentence_table(df, chunk)).collect()}
+        assert got == {str(i): sentences.sentence_ends(t) for i, t in enumerate(texts)}, chunk
+
+
 def test_probes(spark):
     blocks = spark.createDataFrame([("a", "Eins. Zwei."), ("a", "Eins. Zwei."), ("b", None)], "id string, text string")
     chunks = spark.createDataFrame([("a", "Drei.")], "id string, text string")
