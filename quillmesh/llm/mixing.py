@@ -89,10 +89,11 @@ def repeated(counts: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 42, **tokenizer: str) -> DataFrame:
-    """The mix: one row for each use of a document, in global shuffled order of ``shuffle_key``."""
-    counts = token_counts(documents, **tokenizer)
+    """The mix: one row for each use of a document with all its columns, in global shuffled order of ``shuffle_key``."""
+    whole = documents.withColumn("__text", F.col("text"))
+    counts = encode_column(whole, "text", "n_tokens", lengths_only=True, **tokenizer).persist(StorageLevel.MEMORY_AND_DISK)
     uses = repeated(counts, source_plan(counts, targets), seed).where("uses > 0")
-    out = uses.select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("copy_no"))
+    out = uses.withColumnRenamed("__text", "text").select(*documents.columns, "n_tokens", F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("copy_no"))
     return out.withColumn("shuffle_key", F.xxhash64("doc_id", "copy_no", F.lit(seed + 1))).orderBy("shuffle_key", "doc_id", "copy_no")
 
 

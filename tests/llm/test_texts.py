@@ -70,6 +70,15 @@ def test_mix_reaches_shares(spark):
     assert max(Counter(r.doc_id for r in first if r.source == "a").values()) <= 3
 
 
+def test_mix_holds_whole_records(spark):
+    docs = spark.createDataFrame([(i, "a", f"text {i}", i % 7) for i in range(60)], DOCS + ", extra int")
+    targets = spark.createDataFrame([("a", 1.0, 3)], "source string, target_share double, max_repeats long")
+    got = mixing.mix(docs, targets)
+    assert got.columns == ["doc_id", "source", "text", "extra", "n_tokens", "copy_no", "shuffle_key"]
+    rows = got.collect()
+    assert rows and all((r.text, r.extra) == (f"text {r.doc_id}", r.doc_id % 7) for r in rows)
+
+
 LIMITS = "field_name string, max_chars long, overlap_chars long"
 
 
