@@ -53,23 +53,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests), one of our own is set."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quillmesh-checkpoint-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(found)
-    return found
+#: Input bytes for each core from which a scan keeps the cores busy by itself.
+BUSY_BYTES = 2 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The size of what a plan reads, from the statistics of its leaves; nothing is run for it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows evenly over two tasks a core, for Python-heavy work behind a scan of few large files. Where the
-    scan already keeps half of the cores busy it stays as it is, without a shuffle."""
+    """Rows evenly over two tasks a core, for Python-heavy work behind small inputs. Where the input is large enough to
+    keep the cores busy it stays as it is, without a shuffle. Decided by the plan's sizes alone, which runs no job."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 >= cores:
+    if input_bytes(df) >= cores * BUSY_BYTES:
         return df
     return df.repartition(cores * 2, *keys) if keys else df.repartition(cores * 2)
