@@ -60,7 +60,7 @@ BUSY_BYTES = 2 << 20
 def input_bytes(df: DataFrame) -> int:
     """The size of what a plan reads, from the statistics of its leaves; nothing is run for it."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
