@@ -81,6 +81,20 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vectors.similar(table(spark, d, "vector_records"))
 
 
+HUNDREDTH = "vec_id % 100 = 0"  # the queries of a search that is checked against all rows
+
+
+@query
+def p1_exact(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.nearest_exactly(table(spark, d, "vector_records"), HUNDREDTH).select("vec_a", "vec_b")
+
+
+@query
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "vector_records")
+    return vectors.recall(vectors.similar(records), vectors.nearest_exactly(records, HUNDREDTH))
+
+
 def _visible(spark: SparkSession, d: str) -> DataFrame:
     blocks = table(spark, d, "normalized_blocks").selectExpr("'block' as record_kind", "block_id as id", "text")
     return blocks.unionByName(table(spark, d, "knowledge_chunks").selectExpr("'chunk' as record_kind", "chunk_id as id", "index_text as text"))

@@ -37,6 +37,12 @@ def test_neighbours_have_recall(spark):
     for r in vectors.similar(vec_table(spark, rows)).collect():
         got.setdefault(r.vec_a, []).append(r.vec_b)
     assert max(map(len, got.values())) <= 10
+    exact = vectors.nearest_exactly(vec_table(spark, rows), "vec_id % 50 = 0", block=64)
+    checked = {}
+    for r in exact.orderBy("vec_a", F.desc("cosine")).collect():
+        checked.setdefault(r.vec_a, []).append(r.vec_b)
+    assert checked == {i: [j for j, _ in truth[i]] for i in truth if i % 50 == 0}
+    assert vectors.recall(vectors.similar(vec_table(spark, rows)), exact).first().recall >= 0.9
     recall = np.mean([len(set(got.get(i, [])) & {j for j, _ in t}) / len(t) for i, t in truth.items()])
     assert recall >= 0.9
 
@@ -49,8 +55,8 @@ def test_close_pairs_copies_and_unusable(spark, block):
     rows += [(200, "v", base[0].tolist(), 16), (201, "v", (base[0] * 2).tolist(), 16), (300, "w", base[0].tolist(), 16)]
     bad = [(400, "v", None, 16), (401, "v", [1.0] * 15, 16), (402, "v", [0.0] * 16, 16), (403, "v", [float("nan")] * 16, 16), (404, "v", [1e308] * 16, 16)]
     df = vec_table(spark, rows + bad + rows[:5])
-    index = vectors.Index(8, 2, 2, block=block)
-    got = {(r.vec_a, r.vec_b) for r in vectors.close_pairs(df, index=index).collect()}
+    goal = vectors.Goal(0.9999, least=0.95, block=block)
+    got = {(r.vec_a, r.vec_b) for r in vectors.close_pairs(df, goal=goal).collect()}
     truth = {(min(i, j), max(i, j)) for i, t in brute(rows, 10, 0.95).items() for j, _ in t}
     assert got == truth
     assert vectors.close_pairs(df.limit(0)).count() == 0
@@ -64,6 +70,23 @@ def test_many_copies_stay_whole(spark):
     assert all(got[i] == [1.0] * 5 for i in range(60)) and len(got[99]) == 5
 
 
+def test_more_close_partners_than_k_stay_whole(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "v", (np.ones(16) + rng.normal(size=16) * 0.02).tolist(), 16) for i in range(30)] + [(50 + i, "v", [2.0] * 16, 16) for i in range(12)]
+    assert vectors.close_pairs(vec_table(spark, rows)).count() == 42 * 41 // 2
+    links, members = vectors.close_links(vec_table(spark, rows))
+    assert links.count() == 31 * 30 // 2  # copies are one class
+    assert {(r.rep, r.copies) for r in members.where("vec_id >= 50").collect()} == {(50, 12)} and members.count() == 42
+
+
+def test_index_grows_with_the_space():
+    small, large = (vectors.planned(64, m, vectors.NEIGHBOURS) for m in (10, 20))
+    assert small.regions == 1 and large.regions == 1024 and large.hashes > small.hashes
+    x = np.random.default_rng(1).normal(size=(50, 64)).astype(np.float32)
+    region, cell = vectors.probed_cells(x, large, 0)
+    assert len({*zip(region[0].tolist(), cell[0].tolist())}) == large.probes  # no cell twice
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(3).normal(size=(5, 48)).astype(np.float32)
     y = vectors.rotate(x, 1, 0, 0)
