@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -27,28 +28,30 @@ from quillmesh.session import ship
 
 
 def cut_poisson(rate: float, most: int) -> list[float]:
-    """The distribution function at 0..most-1 of a Poisson count cut at ``most`` whose mean is ``rate``."""
+    """The distribution function at 0..most-1 of a Poisson count cut at ``most`` whose mean is ``rate``. Weights are held as
+    logarithms and the parameter is bracketed by doubling, so that neither has a ceiling."""
     if most <= 0 or rate <= 0:
         return [1.0] * max(most, 0)
     if rate >= most:
         return [0.0] * most
+    k = np.arange(most)
+    factorials = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most)))]) if most > 1 else np.zeros(1)
 
-    def below(lam: float) -> list[float]:
-        p, total, out = math.exp(-lam), 0.0, []
-        for k in range(most):
-            total += p
-            out.append(min(total, 1.0))
-            p *= lam / (k + 1)
-        return out
+    def below(lam: float) -> np.ndarray:
+        return np.minimum(np.cumsum(np.exp(k * math.log(lam) - lam - factorials)), 1.0)
 
-    low, high = 0.0, 700.0
+    def mean(lam: float) -> float:
+        return most - float(below(lam).sum())
+
+    low, high = 0.0, max(rate, 1.0)
+    while mean(high) < rate:
+        low, high = high, 2 * high
     for _ in range(100):
         mid = (low + high) / 2
-        if most - sum(below(mid)) < rate:
-            low = mid
-        else:
-            high = mid
-    return below((low + high) / 2)
+        if mid <= low or mid >= high:
+            break
+        low, high = (mid, high) if mean(mid) < rate else (low, mid)
+    return below(high).tolist()
 
 
 def token_counts(documents: DataFrame, **tokenizer: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Problem 4: debris of scanning in the blocks of scanned books, and their paragraphs whole again.
 
-Method: sequence labelling of lines by a hidden Markov model with the states header (running headers, footers, page
-numbers), body (the paragraph goes on after this line) and break (it ends with this line). A line's symbol
-combines layout features: does it look like a page number or repeat over pages of the book, exactly or with a wrong letter;
-does its block stand at the edge of the page, is it alone there, is it running text; how does the line end and does the next
-block of running text, on the next page, go on. The model is trained by hard EM from weak labels on at most
-``TRAIN_GROUPS`` groups of pages; every line is labelled by the Viterbi path of its group of ``PAGES`` pages, with pages
-of the neighbouring groups as context, so that a book of any size is many tasks.
+Method: sequence labelling of lines by a hidden Markov model with the labels header (running headers, footers, page
+numbers), body (the paragraph goes on after this line) and break (it ends with this line). The hidden states also know whether a
+paragraph has begun and is still open, over headers too, so that what stands before and after a line decides with it: the moves between an open
+and a closed paragraph are forbidden where they make no sense. The moves depend on the line's place in its block (first, last). A line emits four features of the layout, independently of each other: how it
+begins (letter case), how it ends (mark, no letters), both by the kind of the block and whether only short lines lie between it and the page's border, its room (edge of the page, length), and its likeness to a page
+number (shape, counts on with the pages, style of the other numbers) or to other lines of the book (repeats, with wrong letters too, titles). None of them is a label. Weak labels by a few simple rules start the Viterbi training and keep half of the
+weight in it. It runs on at most ``TRAIN_GROUPS`` groups; every line is labelled by the Viterbi path of its group
+of ``SPAN`` blocks in reading order, with ``HALO`` blocks of the neighbours as context, so that a book of any size is many tasks.
 
 Words broken at a line's end are joined if the joined word is more frequent in the corpus than the word with the
 hyphen (then the mark is part of it); unknown words by their letters. A word is misread if undoing a usual confusion
@@ -25,6 +26,7 @@ from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,11 +37,10 @@ from pyspark.sql import functions as F
 
 from quillmesh.session import ship, spread
 
-PAGES = 64
-HALO = 2
+SPAN = 512
+HALO = 24
 TRAIN_GROUPS = 48
 RATIO = 12
-MOST_MISREAD = 200_000
 RUNNING = ("paragraph", "list_item")
 MARKS = "-‐‑¬\xad"
 #: What a scanner reads for what, as (read, printed).
@@ -102,8 +103,39 @@ def similar(a: str, b: str) -> bool:
     return m.real_quick_ratio() >= 0.8 and m.quick_ratio() >= 0.8 and m.ratio() >= 0.8
 
 
-def symbols(f: pd.DataFrame) -> list[tuple[int, int, str, int, int]]:
-    """(row, line number, line, symbol, weak label) of all lines of a group; the rows are in reading order."""
+#: Hidden states: a line that starts a paragraph and one inside it, both with more to come; the line that ends one, and one that
+#: is a whole paragraph; headers while a paragraph is open and while none is.
+START, INSIDE, END, SINGLE, OVER_OPEN, OVER_CLOSED = range(6)
+STATES = 6
+#: What may come before each state: an open paragraph or none.
+FROM = ((END, SINGLE, OVER_CLOSED), (START, INSIDE, OVER_OPEN), (START, INSIDE, OVER_OPEN), (END, SINGLE, OVER_CLOSED), (START, INSIDE, OVER_OPEN), (END, SINGLE, OVER_CLOSED))
+HEADER, BODY, BREAK = 0, 1, 2
+LABELS = (BODY, BODY, BREAK, BREAK, HEADER, HEADER)
+_TYPES = {"paragraph": 0, "list_item": 1, "section_heading": 2, "document_title": 2}
+#: Of each observed feature, in the order of ``observed``, the numbers of what it depends on and of its values.
+SIZES = ((16, 4), (16, 5), (4, 20), (1, 22))
+
+
+class Line(NamedTuple):
+    row: int
+    text: str
+    seen: tuple[int, ...]  # place in the block (2 if its first line, plus 1 if its last), features of the layout
+    weak: int  # a first guess at the label, for the start of the training only
+
+
+def begin_of(line: str) -> int:
+    c = next((c for c in line if c.isalnum()), "")
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+def end_of(line: str) -> int:
+    t = line.rstrip()
+    return 4 if not any(c.isalpha() for c in t) else 0 if _TERMINAL.search(t) else 1 if t[-1] in MARKS else 2 if t[-1] in ",，、" else 3
+
+
+def observed(f: pd.DataFrame) -> list[Line]:
+    """The lines of a group, whose rows are in reading order, with their place in the block and four features of the layout: how
+    they begin, how they end, their room on the page, and their likeness to page numbers or to lines of other pages."""
     n = len(f)
     texts, types = f["text"].tolist(), f["block_type"].tolist()
     first, last = f["page_start"].tolist(), f["page_end"].tolist()
@@ -112,130 +144,151 @@ def symbols(f: pd.DataFrame) -> list[tuple[int, int, str, int, int]]:
     on_page: dict[int, list[int]] = defaultdict(list)
     for i in range(n):
         on_page[first[i]].append(i)
-    edge = [False] * n
+    top, bottom, edge = [False] * n, [False] * n, [False] * n
     for rows in on_page.values():
         for i in rows[:2] + rows[-2:]:
             edge[i] = True
-    head_keys = {key_of(lines[i][0]) for i in range(n) if len(lines[i]) == 1 and repeats[i] and edge[i] and types[i] == "paragraph" and not is_number(lines[i][0])}
-    number_keys = Counter(key_of(as_digits(lines[i][0])) for i in range(n) if len(lines[i]) == 1 and edge[i] and types[i] == "paragraph" and is_number(lines[i][0]))
-    head_list = sorted(head_keys)
-    ahead = Counter(v - first[i] for i in range(n) if len(lines[i]) == 1 and edge[i] and types[i] == "paragraph" and is_number(lines[i][0]) and (v := number_in(lines[i][0])) is not None)
+        for reached, order in ((top, rows), (bottom, rows[::-1])):  # up to the first block that isn't a short line
+            for i in order[:4]:
+                reached[i] = True
+                if types[i] != "figure_label" and not (len(lines[i]) == 1 and types[i] == "paragraph" and len(lines[i][0]) <= 90):
+                    break
+    single = [i for i in range(n) if len(lines[i]) == 1 and types[i] == "paragraph" and edge[i]]
+    numbers = {i for i in single if is_number(lines[i][0])}
+    styles = {key_of(as_digits(lines[i][0])) for i in numbers}
+    ahead = Counter(v - first[i] for i in numbers if (v := number_in(lines[i][0])) is not None)
     offset = next((o for o, c in ahead.most_common(1) if c >= 3), None)  # pages are counted on: number less page
-
+    head_keys = {key_of(lines[i][0]) for i in single if repeats[i] and i not in numbers}
     titles = {key_of(h) for h in heads if h} | {key_of(lines[i][0]) for i in range(n) if len(lines[i]) == 1 and types[i] in ("document_title", "section_heading")}
-    title_list = sorted(t for t in titles if len(t) >= 5)
-
+    likes = sorted(head_keys | {t for t in titles if len(t) >= 5})
     longest = max(map(len, head_keys), default=0) + 12
-
-    def looks(i: int, line: str, alone: bool) -> int:
-        if len(line) > 90 or not alone and len(line) > max(longest, 20) or not line.strip():
-            return 0
-        if is_number(line):
-            v = number_in(line)
-            if v is not None and offset is not None and v - first[i] != offset and v - last[i] != offset:
-                return 0
-            return 1 if alone or number_keys[key_of(as_digits(line))] or _ROMAN.match(line.strip()) else 0
-        k = key_of(line)
-        if k in head_keys or alone and repeats[i]:
-            return 2
-        bare = re.sub(r"^[#\s]+|[#\s]+$", "", k)
-        if alone and edge[i] and types[i] == "paragraph" and not _TERMINAL.search(line) and any(x in titles or any(similar(x, t) for t in title_list) for x in {k, bare}):
-            return 2
-        if (alone and edge[i] and types[i] == "paragraph") or not alone and len(line) < 45 and not _TERMINAL.search(line):
-            if any(similar(k, h) or similar(bare, h) for h in head_list):
-                return 3
-        return 0
-
-    kinds = [[looks(i, x, len(lines[i]) == 1) for x in lines[i]] for i in range(n)]
-    after = _next_body(n, kinds, lines, edge, types)
     out = []
     for i in range(n):
-        alone, para = len(lines[i]) == 1, types[i] == "paragraph"
-        body = [j for j, k in enumerate(kinds[i]) if not k]
+        kind = _TYPES.get(types[i], 3)
+        if types[i] == "figure_label":
+            continue
+        size = len(lines[i])
+        alone = size == 1
         for j, line in enumerate(lines[i]):
-            if j < (body[-1] if body else -1):
-                end = 0
-            elif _TERMINAL.search(line) or not para or not line.strip():
-                end = 1
+            long = len(line)
+            shape = counter = style = repeat = title = 0
+            if kind == 0 and long <= 90 and (alone or long <= max(longest, 20)) and line.strip():
+                if is_number(line):
+                    v = number_in(line)
+                    shape = 2 if v is None else 1
+                    counter = 0 if v is None else 3 if offset is None else 1 if offset in (v - first[i], v - last[i]) else 2
+                    style = int(key_of(as_digits(line)) in styles)
+                else:
+                    k = key_of(line)
+                    worded = any(c.isalpha() for c in k)
+                    bare = re.sub(r"^[#\s]+|[#\s]+$", "", k)
+                    repeat = int(worded and (k in head_keys or alone and repeats[i]))
+                    title = int(worded and bool({k, bare} & titles))
+                    if worded and not repeat and not title and (alone and edge[i] or long < 45) and not _TERMINAL.search(line) and any(similar(k, x) or similar(bare, x) for x in likes):
+                        repeat = 2
+            ends = end_of(line)
+            room = 0 if long <= 8 else 1 if long <= 20 else 2 if long <= 45 else 3 if long <= 90 else 4
+            begins, stops = j == 0, j == size - 1
+            seen = (
+                begins * 2 + stops,
+                ((kind * 2 + begins) * 2 + top[i]) * 4 + begin_of(line),
+                ((kind * 2 + stops) * 2 + bottom[i]) * 5 + ends,
+                (((begins * 2 + stops) * 2 + edge[i]) * 5 + room) * 2 + (kind == 0),
+                (shape - 1) * 8 + counter * 2 + style if shape else 16 + repeat * 2 + title,
+            )
+            like = shape and counter != 2 if alone else shape and counter == 1 and style
+            if kind == 0 and (edge[i] and alone and (like or repeat or title) or not alone and room < 3 and (like or repeat == 1)):
+                weak = HEADER
+            elif j < size - 1 or kind == 0 and 0 < ends < 4 and bottom[i]:
+                weak = BODY
             else:
-                nxt = after[i]
-                goes_on = nxt is not None and types[nxt] == "paragraph" and first[nxt] == last[i] + 1
-                end = 2 if goes_on else 3
-            kind = kinds[i][j]
-            symbol = (((kind * 2 + edge[i]) * 2 + alone) * 2 + para) * 4 + end
-            weak = 0 if kind and para and (edge[i] or not alone) else 2 if end in (1, 3) else 1
-            out.append((i, j, line, symbol, weak))
+                weak = BREAK
+            out.append(Line(i, line, seen, weak))
     return out
 
 
-def _next_body(n: int, kinds: list, lines: list, edge: list, types: list) -> list[int | None]:
-    out: list[int | None] = [None] * n
-    nxt = None
-    for i in range(n - 1, -1, -1):
-        out[i] = nxt
-        furniture = lines[i] and all(kinds[i]) and types[i] == "paragraph" and edge[i]
-        if not furniture and types[i] != "figure_label":
-            nxt = i
+def states_of(labels: list[int]) -> list[int]:
+    """The hidden states that labels amount to."""
+    out, open_ = [], False
+    for k in labels:
+        if k == HEADER:
+            out.append(OVER_OPEN if open_ else OVER_CLOSED)
+        else:
+            out.append((INSIDE if open_ else START) if k == BODY else (END if open_ else SINGLE))
+            open_ = k == BODY
     return out
 
 
-SYMBOLS = 4 * 2 * 2 * 2 * 4
-
-
 class Model:
-    """Log probabilities of a hidden Markov model with the states header, body and break."""
+    """Log probabilities of a hidden Markov model: the moves, by the place of the line that is entered, and for each feature its
+    emissions by state. Every book begins as after a closed paragraph."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        self.start, self.move, self.emit = start, move, emit
+    def __init__(self, move: np.ndarray, emit: list[np.ndarray]) -> None:
+        self.move, self.emit = move, emit
+        self.known: dict[tuple[int, ...], list[float]] = {}
+        self.ways = [[[(came, float(move[place, came, to])) for came in FROM[to]] for to in range(STATES)] for place in range(4)]
 
     @classmethod
-    def fitted(cls, sequences: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-        """From symbols with labels; every event is thought to have been seen a little."""
-        start, move, emit = np.full(3, 0.1), np.full((3, 3), 0.1), np.full((3, SYMBOLS), 0.01)
-        for symbol, label in sequences:
-            if len(label):
-                start[label[0]] += 1
-                np.add.at(move, (label[:-1], label[1:]), 1)
-                np.add.at(emit, (label, symbol), 1)
-        return cls(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True)))
-
-    def path(self, symbol: np.ndarray) -> np.ndarray:
-        """The Viterbi path; plain numbers, since three states are too few for arrays to pay."""
-        if not len(symbol):
-            return np.zeros(0, int)
-        emit = self.emit.T.tolist()
-        moves = self.move.T.tolist()  # moves[to][from]
-        first = emit[int(symbol[0])]
-        score = [float(self.start[k]) + first[k] for k in range(3)]
+    def fitted(cls, sequences: list[tuple[list[tuple[int, ...]], list[int], float]]) -> Model:
+        """From features with states and a weight; every event is thought to have been seen a little."""
+        move = np.zeros((4, STATES, STATES))
+        for to, came in enumerate(FROM):
+            move[:, list(came), to] = 0.01
+        emit = [np.full((STATES, given * values), 0.05) for given, values in SIZES]
+        for seen, states, weight in sequences:
+            if states:
+                at = np.array(states)
+                columns = np.array(seen).T
+                np.add.at(move, (columns[0], np.concatenate([[END], at[:-1]]), at), weight)
+                for e, column in zip(emit, columns[1:], strict=True):
+                    np.add.at(e, (at, column), weight)
+        with np.errstate(divide="ignore"):
+            logs = [np.log((e := x.reshape(STATES, given, values)) / e.sum(2, keepdims=True)).reshape(STATES, -1) for x, (given, values) in zip(emit, SIZES, strict=True)]
+            return cls(np.log(move / move.sum(2, keepdims=True)), logs)
+
+    def score(self, seen: tuple[int, ...]) -> list[float]:
+        got = self.known.get(seen)
+        if got is None:
+            got = self.known[seen] = sum(e[:, x] for e, x in zip(self.emit, seen[1:], strict=True)).tolist()
+        return got
+
+    def path(self, seen: list[tuple[int, ...]]) -> list[int]:
+        """The Viterbi path; plain numbers, since so few states are too few for arrays to pay."""
+        total = [0.0 if k == END else -1e9 for k in range(STATES)]
         back = []
-        for o in symbol[1:].tolist():
-            e = emit[o]
+        for o in seen:
+            e, ways = self.score(o), self.ways[o[0]]
             new, came = [], []
-            for k in range(3):
-                m = moves[k]
-                x, y, z = score[0] + m[0], score[1] + m[1], score[2] + m[2]
+            for k in range(STATES):
+                (p, x), (q, y), (r, z) = ways[k]
+                x, y, z = total[p] + x, total[q] + y, total[r] + z
                 if x >= y and x >= z:
                     new.append(x + e[k])
-                    came.append(0)
+                    came.append(p)
                 elif y >= z:
                     new.append(y + e[k])
-                    came.append(1)
+                    came.append(q)
                 else:
                     new.append(z + e[k])
-                    came.append(2)
-            score = new
+                    came.append(r)
+            total = new
             back.append(came)
-        out = [score.index(max(score))]
+        out = [total.index(max(total))]
         for came in reversed(back):
             out.append(came[out[-1]])
-        return np.array(out[::-1])
+        return out[-2::-1]
 
     @classmethod
-    def trained(cls, sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 3) -> Model:
-        """Hard EM from weak labels, which also stay as the prior of half the weight."""
-        model = cls.fitted(sequences)
+    def trained(cls, sequences: list[tuple[list[tuple[int, ...]], list[int]]], rounds: int = 3, keep: float = 1.0, doubt: float = 0.03) -> Model:
+        """Viterbi training: weak labels start it and stay with the weight ``keep`` beside the model's own paths. A paragraph that they let go
+        on after its block is in doubt: it may end there, too, so that its surroundings can overrule them."""
+        prior = []
+        for seen, labels in sequences:
+            ended = [BREAK if k == BODY and o[0] & 1 else k for k, o in zip(labels, seen, strict=True)]
+            prior += [(seen, states_of(labels), keep * (1 - doubt)), (seen, states_of(ended), keep * doubt)]
+        model = cls.fitted(prior)
         for _ in range(rounds):
-            model = cls.fitted([*sequences, *((s, model.path(s)) for s, _ in sequences)])
+            model = cls.fitted([*prior, *((seen, model.path(seen), 1.0) for seen, _ in sequences)])
         return model
 
 
@@ -243,32 +296,35 @@ class Model:
 
 
 def scanned(blocks: DataFrame) -> DataFrame:
-    """Blocks of scanned books; rows that repeat a block are sorted out in their group of pages, without a shuffle of its own."""
+    """Blocks of scanned books; rows that repeat a block are sorted out in their group, without a shuffle of its own. Blocks without
+    a page stand on pages of their own, below 0; those without a place in the reading order, before all others."""
     books = blocks.where(F.col("source_path").startswith("scans/")).select("document_id").distinct()
     rows = blocks.where(F.col("document_id").isNotNull() & F.col("block_id").isNotNull()).join(books, "document_id", "left_semi")
-    return rows.select("block_id", "document_id", "text", "block_type", F.try_element_at("heading_path", F.lit(1)).alias("head"), F.coalesce("page_start", F.lit(0)).alias("page_start"), F.coalesce("page_end", "page_start", F.lit(0)).alias("page_end"), "ordinal", "ingested_at")
+    rows = rows.withColumn("ordinal", F.coalesce("ordinal", -1 - F.pmod(F.xxhash64("block_id"), F.lit(1 << 30))))
+    page = F.coalesce("page_start", -1 - F.pmod("ordinal", F.lit(1 << 40)))
+    return rows.select("block_id", "document_id", "text", "block_type", F.try_element_at("heading_path", F.lit(1)).alias("head"), page.alias("page_start"), F.coalesce("page_end", page).alias("page_end"), "ordinal", "ingested_at")
 
 
-def near_pages() -> Column:
-    """The groups of pages a row stands in: its own, and the neighbour's if it is near its end."""
-    page = F.col("page_start")
-    return F.array_distinct(F.array(*[F.floor((page + d) / PAGES) for d in (0, -HALO, HALO)]))
+def near_groups() -> Column:
+    """The groups a row stands in: its own, and the neighbour's if it is near its end."""
+    return F.array_distinct(F.array(*[F.floor((F.col("ordinal") + d) / SPAN) for d in (0, -HALO, HALO)]))
 
 
 def repeated_keys(blocks: DataFrame) -> DataFrame:
-    """(document_id, pages, key): of each group of pages the single lines, by their keys, that stand on several pages of their book or
-    in several books. Only keys go through the joins."""
+    """(document_id, part, key): of each group the single lines, by their keys, that stand on several pages of their book or in several
+    books. Only keys go through the joins, each with its groups one by one."""
     line = (F.instr("text", "\n") == 0) & (F.char_length("text") <= 90) & (F.col("block_type") == "paragraph") & ~F.col("text").rlike(r"[.!?。！？:：;；,，]\s*$")
-    short = blocks.where(line).select("document_id", "page_start", F.col("text").alias("t")).select("document_id", "page_start", key_column(F.col("t")).alias("key")).where("key != ''").distinct()
-    pages = short.groupBy("document_id", "key").agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set(near_pages()))).alias("groups"))
+    short = blocks.where(line).select("document_id", "page_start", near_groups().alias("parts"), F.col("text").alias("t")).select("document_id", "page_start", "parts", key_column(F.col("t")).alias("key")).where("key != ''")
+    each = short.select("document_id", "key", "page_start", F.explode("parts").alias("part")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    pages = each.select("document_id", "key", "page_start").distinct().groupBy("document_id", "key").agg(F.count("*").alias("n"))
     books = pages.groupBy("key").agg(F.count("*").alias("books"))
-    known = pages.join(books, "key").where("n >= 3 or books >= 3 or (n >= 2 and books >= 2)")
-    return known.select("document_id", F.explode("groups").alias("pages"), "key")
+    known = pages.join(books, "key").where("n >= 3 or books >= 3 or (n >= 2 and books >= 2)").select("document_id", "key")
+    return each.select("document_id", "part", "key").distinct().join(known, ["document_id", "key"], "left_semi")
 
 
 def grouped(blocks: DataFrame) -> DataFrame:
-    """Rows by group of pages; those near its ends stand in the neighbour's group, too, as context."""
-    return blocks.withColumn("home", F.floor(F.col("page_start") / PAGES)).withColumn("pages", F.explode(near_pages()))
+    """Rows by group, a stretch of the reading order; those near its ends stand in the neighbour's group, too, as context."""
+    return blocks.withColumn("home", F.floor(F.col("ordinal") / SPAN)).withColumn("part", F.explode(near_groups()))
 
 
 def in_order(f: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
@@ -288,53 +344,80 @@ def mapped(blocks: DataFrame, groups: DataFrame, keys: DataFrame, run: Callable[
         return run(f, k) if len(f) else pd.DataFrame({c: [] for c in names})
 
     a = groups.select(*[F.col(c).alias(c) for c in groups.columns])  # new columns, as both sides come from one table
-    b = keys.select(F.col("document_id").alias("book"), F.col("pages").alias("part"), "key")
-    return a.groupBy("document_id", "pages").cogroup(b.groupBy("book", "part")).applyInPandas(each, schema)
+    b = keys.select(F.col("document_id").alias("book"), F.col("part").alias("stretch"), "key")
+    return a.groupBy("document_id", "part").cogroup(b.groupBy("book", "stretch")).applyInPandas(each, schema)
 
 
 def model_of(blocks: DataFrame, groups: DataFrame, repeated: DataFrame, most: int = TRAIN_GROUPS) -> Model:
-    """The model, trained on the page groups with the least hashes; their symbols, some 20,000 small numbers each at
-    most, are all that comes to the driver."""
-    keys = blocks.select("document_id", F.floor(F.col("page_start") / PAGES).alias("pages")).distinct().orderBy(F.xxhash64("document_id", "pages"), "document_id", "pages").limit(most).persist()
+    """The model, trained on the groups with the least hashes; their features, of some 20,000 lines each at most, are all that
+    comes to the driver."""
+    part = F.floor(F.col("ordinal") / SPAN).alias("part")
+    keys = blocks.select("document_id", part).distinct().orderBy(F.xxhash64("document_id", "part"), "document_id", "part").limit(most).persist()
 
     def run(f: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
-        rows = symbols(in_order(f, k))[:20_000]
-        return pd.DataFrame({"s": [[r[3] for r in rows]], "w": [[r[4] for r in rows]]})
+        rows = observed(in_order(f, k))[:20_000]
+        return pd.DataFrame({"s": [[x for r in rows for x in r.seen]], "w": [[r.weak for r in rows]]})
 
-    by = ["document_id", "pages"]
+    by = ["document_id", "part"]
     got = mapped(blocks, groups.join(keys, by, "left_semi"), repeated.join(keys, by, "left_semi"), run, "s array<int>, w array<int>").collect()
-    return Model.trained([(np.array(r.s, int), np.array(r.w, int)) for r in got])
+    keys.unpersist()
+    m = len(SIZES) + 1
+    return Model.trained([([tuple(r.s[i : i + m]) for i in range(0, len(r.s), m)], list(r.w)) for r in got])
 
 
-def label_group(f: pd.DataFrame, model: Model) -> Iterator[tuple[int, list[str], list[int], bool, str]]:
-    """(row, lines, labels, whether the paragraph goes on, the next block's first body line) of a group's own rows, last first."""
-    rows = symbols(f)
-    path = model.path(np.array([r[3] for r in rows], int)).tolist()
+class Found(NamedTuple):
+    row: int
+    lines: list[str]
+    labels: list[int]
+    goes_on: bool  # on the next page, in the next block
+    next_line: str  # that block's first body line
+    continues: bool  # it is such a next block
+
+
+def label_group(f: pd.DataFrame, model: Model) -> list[Found]:
+    """The lines of a group's own rows with their labels by the Viterbi path. A paragraph goes on if its last line is labelled
+    body and the next block that isn't all headers is a paragraph on the next page."""
+    rows = observed(f)
+    path = model.path([r.seen for r in rows])
     n = len(f)
     lines: list[list[str]] = [[] for _ in range(n)]
     labels: list[list[int]] = [[] for _ in range(n)]
-    ends = [1] * n
-    for (i, _, line, symbol, _), label in zip(rows, path, strict=True):
-        lines[i].append(line)
-        labels[i].append(label)
-        if label:
-            ends[i] = symbol % 4
-    own, types = (f["home"] == f["pages"]).tolist(), f["block_type"].tolist()
-    nxt = ""
-    for i in range(n - 1, -1, -1):
-        body = [k for k in labels[i] if k]
+    for r, state in zip(rows, path, strict=True):
+        lines[r.row].append(r.text)
+        labels[r.row].append(LABELS[state])
+    own, types = (f["home"] == f["part"]).tolist(), f["block_type"].tolist()
+    first, last = f["page_start"].tolist(), f["page_end"].tolist()
+    for i, t in enumerate(f["text"].tolist()):
+        if types[i] == "figure_label" and isinstance(t, str):
+            lines[i] = t.split("\n")
+            labels[i] = [BODY] * (len(lines[i]) - 1) + [BREAK]
+    out: list[Found] = []
+    before, open_ = -1, False  # the last block with running text
+    goes, continues = [False] * n, [False] * n
+    following = [-1] * n
+    for i in range(n):
+        body = [k for k in labels[i] if k != HEADER]
+        if not body or types[i] == "figure_label":
+            continue
+        if before >= 0:
+            following[before] = i
+            if open_ and types[i] == types[before] == "paragraph" and first[i] == last[before] + 1:
+                goes[before] = continues[i] = True
+        before, open_ = i, body[-1] == BODY
+    for i in range(n):
         if own[i]:
-            yield i, lines[i], labels[i], bool(body) and body[-1] == 1 and ends[i] == 2, nxt
-        if body and types[i] != "figure_label":
-            nxt = next(x for x, k in zip(lines[i], labels[i], strict=True) if k)
+            j = following[i]
+            nxt = next(x for x, k in zip(lines[j], labels[j], strict=True) if k != HEADER) if j >= 0 else ""
+            out.append(Found(i, lines[i], labels[i], goes[i], nxt, continues[i]))
+    return out
 
 
-_LINES = "block_id string, document_id string, block_type string, page_start bigint, page_end bigint, ordinal bigint, lines array<string>, labels array<int>, goes_on boolean, next_line string"
+_LINES = "block_id string, document_id string, block_type string, page_start bigint, page_end bigint, ordinal bigint, home bigint, lines array<string>, labels array<int>, goes_on boolean, next_line string, continues boolean"
 
 
 def labelled(blocks: DataFrame) -> DataFrame:
     """Each block with its lines, their labels (0 header, 1 body, 2 break), whether its paragraph goes on in the next
-    block on the next page, and that block's first body line."""
+    block on the next page, that block's first body line, and whether it continues the block before."""
     spark = blocks.sparkSession
     ship(spark)
     groups, keys = grouped(blocks), repeated_keys(blocks).persist(StorageLevel.MEMORY_AND_DISK)
@@ -342,9 +425,10 @@ def labelled(blocks: DataFrame) -> DataFrame:
 
     def run(f: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
         f = in_order(f, k)
-        facts = list(zip(*(f[c].tolist() for c in ("block_id", "document_id", "block_type", "page_start", "page_end", "ordinal")), strict=True))
-        out = [(*facts[i], lines, labels, on, nxt) for i, lines, labels, on, nxt in label_group(f, sent.value)]
-        return pd.DataFrame(out, columns=["block_id", "document_id", "block_type", "page_start", "page_end", "ordinal", "lines", "labels", "goes_on", "next_line"])
+        names = ("block_id", "document_id", "block_type", "page_start", "page_end", "ordinal", "home")
+        facts = list(zip(*(f[c].tolist() for c in names), strict=True))
+        out = [(*facts[x.row], *x[1:]) for x in label_group(f, sent.value)]
+        return pd.DataFrame(out, columns=[*names, "lines", "labels", "goes_on", "next_line", "continues"])
 
     return mapped(blocks, groups, keys, run, _LINES)
 
@@ -352,36 +436,71 @@ def labelled(blocks: DataFrame) -> DataFrame:
 _FACTS = "block_id string, furniture boolean, inline boolean, goes_on boolean, words array<string>, breaks array<struct<joined:string,hyphened:string,sure:boolean>>"
 
 
-def examined(blocks: DataFrame, only: list[str] | None) -> DataFrame:
-    """What ``findings`` needs of each block, without its text: the layout, its words (of those in ``only`` if given)
-    and its broken words."""
+def examined(blocks: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """What ``findings`` needs of each block, without its text: the layout, those of its words that ``wanted``, a filter, lets through, and
+    its broken words."""
     spark = blocks.sparkSession
     ship(spark)
     groups, keys = grouped(blocks), repeated_keys(blocks).persist(StorageLevel.MEMORY_AND_DISK)
-    sent = spark.sparkContext.broadcast((model_of(blocks, groups, keys), None if only is None else frozenset(only)))
+    sent = spark.sparkContext.broadcast((model_of(blocks, groups, keys), wanted))
 
     def run(f: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
-        model, wanted = sent.value
+        model, bits = sent.value
         f = in_order(f, k)
         ids, types = f["block_id"].tolist(), f["block_type"].tolist()
-        out = []
-        for i, lines, labels, on, nxt in label_group(f, model):
-            header = sum(k == 0 for k in labels)
+        out, words = [], []
+        for i, lines, labels, on, nxt, _ in label_group(f, model):
+            header = labels.count(HEADER)
             whole = bool(labels) and header == len(labels)
-            words: list[str] = []
-            breaks: list[tuple[str, str, bool]] = []
+            own: set[str] = set()
+            breaks: list[tuple[str, str, str]] = []
             if not whole:
-                text, found = break_parts(lines, labels, on, nxt)
-                breaks = [(j, h, by_letters(j, h, m)) for j, h, m in found]
+                text, breaks = break_parts(lines, labels, on, nxt)
                 if types[i] in RUNNING:
-                    each = {*_WORD.findall(text), *("3:" + g for g in han_triples(text))}
-                    words = sorted(each if wanted is None else each & wanted)
-            out.append((ids[i], whole, header > 0 and not whole, on, words, [{"joined": j, "hyphened": h, "sure": s} for j, h, s in breaks]))
+                    own = {*_WORD.findall(text), *("3:" + g for g in han_triples(text))}
+            words.append(own)
+            out.append([ids[i], whole, header > 0 and not whole, on, [{"joined": j, "hyphened": h, "sure": by_letters(j, h, m)} for j, h, m in breaks]])
+        some = passed(set().union(*words), bits) if words else set()
+        for row, own in zip(out, words, strict=True):
+            row.insert(4, sorted(own & some))
         return pd.DataFrame(out, columns=["block_id", "furniture", "inline", "goes_on", "words", "breaks"])
 
     return mapped(blocks, groups, keys, run, _FACTS)
 
 
+# ---------------------------------------------------------------- a filter of fixed size
+
+FILTER_BITS = 1 << 25
+FILTER_HASHES = 4
+
+
+def filter_of(words: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``word``. It has the same size, 4 MB, whatever the number of words: with many of them it lets
+    more through, which the join behind it sorts out."""
+    h = F.xxhash64("word")
+    low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+    bits = words.select(F.explode(F.array(*[F.pmod(low + high * i, F.lit(FILTER_BITS)) for i in range(FILTER_HASHES)])).alias("b"))
+    cells = bits.select(F.floor(F.col("b") / 32).cast("int").alias("at"), F.expr("shiftleft(1L, cast(b % 32 as int))").alias("bit")).groupBy("at").agg(F.expr("bit_or(bit)").alias("bit"))
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    got = cells.toPandas()  # at most FILTER_BITS / 32 rows of two numbers
+    out[got["at"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def passed(words: set[str], bits: np.ndarray) -> set[str]:
+    """The words that the filter lets through."""
+    import xxhash
+
+    each = list(words)
+    h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in each), np.uint64, len(each))
+    low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    ok = np.ones(len(each), bool)
+    for i in range(FILTER_HASHES):
+        b = (low + high * np.uint64(i)) % np.uint64(FILTER_BITS)
+        ok &= (bits[(b // np.uint64(32)).astype(np.int64)] >> (b % np.uint64(32)).astype(np.uint32)) & np.uint32(1) == 1
+    return {each[i] for i in np.flatnonzero(ok)}
+
+
 # ---------------------------------------------------------------- words
 
 
@@ -485,9 +604,6 @@ def misread_words(counts: DataFrame) -> DataFrame:
     return latin.unionByName(han)
 
 
-_PARTS = pa.schema([("block_id", pa.string()), ("kind", pa.string()), ("word", pa.string()), ("other", pa.string()), ("sure", pa.bool_())])
-
-
 def break_parts(lines: list[str], labels: list[int], goes_on: bool, next_line: str) -> tuple[str, list[tuple[str, str, str]]]:
     """The running text of a block with broken words joined, and its breaks (joined, with hyphen, mark)."""
     text = "\n".join(x for x, k in zip(lines, labels, strict=True) if k)
@@ -509,105 +625,121 @@ def by_letters(joined: str, hyphened: str, mark: str) -> bool:
     return mark not in "-‑" or tail[:1].islower() and head[-1:].islower()
 
 
-def parts_of(lines: DataFrame, only: list[str] | None) -> DataFrame:
-    """Rows of blocks: ``word`` rows of their words (of those in ``only`` if given) and ``break`` rows of broken words."""
-    sent = lines.sparkSession.sparkContext.broadcast(None if only is None else frozenset(only))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = sent.value
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                text, breaks = break_parts(r["lines"] or [], r["labels"] or [], r["goes_on"], r["next_line"] or "")
-                for j, h, mark in breaks:
-                    rows.append((r["block_id"], "break", j, h, by_letters(j, h, mark)))
-                if r["block_type"] in RUNNING:
-                    words = {*_WORD.findall(text), *("3:" + g for g in han_triples(text))}
-                    rows += [(r["block_id"], "word", w, None, None) for w in (words if wanted is None else words & wanted)]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _PARTS.types, strict=True)], schema=_PARTS)
-
-    return lines.select("block_id", "block_type", "lines", "labels", "goes_on", "next_line").mapInArrow(run, "block_id string, kind string, word string, other string, sure boolean")
-
-
-def word_findings(lines: DataFrame, counts: DataFrame, most: int = MOST_MISREAD) -> DataFrame:
-    """(block_id, kind, word, right): broken words with their joined form and misread words with the printed one. Up to
-    ``most`` misread words are sent to the workers; more are joined with all words, to the same result."""
-    wrong = misread_words(counts).persist(StorageLevel.MEMORY_AND_DISK)
-    few = wrong.select("word").limit(most + 1).collect()
-    parts = parts_of(lines, [r.word for r in few] if len(few) <= most else None).persist(StorageLevel.MEMORY_AND_DISK)
-    misread = parts.where("kind = 'word'").join(wrong, "word").select("block_id", F.lit("misread").alias("kind"), "word", "right")
-    breaks = parts.where("kind = 'break'").select("block_id", F.col("word").alias("joined"), F.col("other").alias("hyphened"), "sure")
-    return misread.unionByName(joined_breaks(breaks, counts).select("block_id", F.lit("hyphen").alias("kind"), F.col("hyphened").alias("word"), F.col("joined").alias("right")))
-
-
 def joined_breaks(breaks: DataFrame, counts: DataFrame) -> DataFrame:
     """Of broken words (block_id, joined, hyphened, sure) those whose mark isn't part of the word."""
     at = breaks.join(counts.select(F.col("word").alias("joined"), F.col("n").alias("whole")), "joined", "left").join(counts.select(F.col("word").alias("hyphened"), F.col("n").alias("parts")), "hyphened", "left")
     return at.where(F.when(F.coalesce("whole", "parts").isNull(), F.col("sure")).otherwise(F.coalesce("whole", F.lit(0)) >= F.coalesce("parts", F.lit(0)))).select("block_id", "joined", "hyphened")
 
 
-def findings(blocks: DataFrame, most: int = MOST_MISREAD) -> DataFrame:
+def findings(blocks: DataFrame) -> DataFrame:
     """(block_id, kind): what scanning did to each block of scanned books."""
     ship(blocks.sparkSession)
     counts = word_counts(blocks).persist(StorageLevel.MEMORY_AND_DISK)
     wrong = misread_words(counts).persist(StorageLevel.MEMORY_AND_DISK)
-    few = wrong.select("word").limit(most + 1).collect()
-    known = len(few) <= most
-    facts = examined(scanned(blocks), [r.word for r in few] if known else None).persist(StorageLevel.MEMORY_AND_DISK)
-    kinds = F.array_compact(F.array(F.when(F.col("furniture"), "furniture"), F.when(F.col("inline"), "inline"), F.when(F.col("goes_on"), "continued"), F.when(F.lit(known) & (F.size("words") > 0), "misread")))
+    facts = examined(scanned(blocks), filter_of(wrong)).persist(StorageLevel.MEMORY_AND_DISK)
+    kinds = F.array_compact(F.array(F.when(F.col("furniture"), "furniture"), F.when(F.col("inline"), "inline"), F.when(F.col("goes_on"), "continued")))
     out = facts.select("block_id", F.explode(kinds).alias("kind"))
-    if not known:
-        each = facts.select("block_id", F.explode("words").alias("word")).join(wrong, "word", "left_semi")
-        out = out.unionByName(each.select("block_id", F.lit("misread").alias("kind")).distinct())
-    breaks = facts.select("block_id", F.explode("breaks").alias("b")).select("block_id", "b.*")
-    return out.unionByName(joined_breaks(breaks, counts).select("block_id", F.lit("hyphen").alias("kind")).distinct()).distinct()
+    misread = facts.select("block_id", F.explode("words").alias("word")).join(wrong, "word", "left_semi").select("block_id", F.lit("misread").alias("kind"))
+    breaks = joined_breaks(facts.select("block_id", F.explode("breaks").alias("b")).select("block_id", "b.*"), counts).select("block_id", F.lit("hyphen").alias("kind"))
+    return out.unionByName(misread).unionByName(breaks).distinct()
+
+
+def repairs(body: DataFrame, counts: DataFrame) -> DataFrame:
+    """(block_id, fixes): for each block its broken words that are one and its misread words with the printed ones."""
+    wrong = misread_words(counts).persist(StorageLevel.MEMORY_AND_DISK)
+    sent = body.sparkSession.sparkContext.broadcast(filter_of(wrong))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, words, breaks = [], [], []
+            for r in b.to_pylist():
+                text, found = break_parts(r["lines"] or [], r["labels"] or [], r["goes_on"], r["next_line"] or "")
+                own = {*_WORD.findall(text), *("3:" + g for g in han_triples(text))} if r["block_type"] in RUNNING else set()
+                ids.append(r["block_id"])
+                words.append(sorted(passed(own, sent.value)) if own else [])
+                breaks.append([{"joined": j, "hyphened": h, "sure": by_letters(j, h, m)} for j, h, m in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(breaks, pa.list_(_BREAK))], names=["block_id", "words", "breaks"])
+
+    parts = body.select("block_id", "block_type", "lines", "labels", "goes_on", "next_line").mapInArrow(run, "block_id string, words array<string>, breaks array<struct<joined:string,hyphened:string,sure:boolean>>").persist(StorageLevel.MEMORY_AND_DISK)
+    misread = parts.select("block_id", F.explode("words").alias("word")).join(wrong, "word").select("block_id", F.lit("misread").alias("kind"), "word", "right")
+    joined = joined_breaks(parts.select("block_id", F.explode("breaks").alias("b")).select("block_id", "b.*"), counts).select("block_id", F.lit("hyphen").alias("kind"), F.col("hyphened").alias("word"), F.col("joined").alias("right"))
+    return misread.unionByName(joined).groupBy("block_id").agg(F.collect_set(F.struct("kind", "word", "right")).alias("fixes"))
+
+
+_BREAK = pa.struct([("joined", pa.string()), ("hyphened", pa.string()), ("sure", pa.bool_())])
 
 
 def paragraphs(blocks: DataFrame) -> DataFrame:
     """(document_id, block_ids, page_start, page_end, text): the paragraphs of scanned books, debris removed, broken words
-    joined, misread words put right, and parts on consecutive pages put together."""
+    joined, misread words put right, and parts on consecutive pages put together. Pages are null where no part has one.
+
+    A block knows from its group whether it continues the one before. Blocks are numbered within groups; only the last beginning
+    of each group, one row for ``SPAN`` blocks, is ordered over the whole book."""
     ship(blocks.sparkSession)
     lines = labelled(scanned(blocks)).persist(StorageLevel.MEMORY_AND_DISK)
     body = lines.where(F.exists("labels", lambda x: x > 0))
-    fixes = word_findings(body, word_counts(blocks).persist(StorageLevel.MEMORY_AND_DISK)).groupBy("block_id").agg(F.collect_set(F.struct("kind", "word", "right")).alias("fixes"))
+    fixes = repairs(body, word_counts(blocks).persist(StorageLevel.MEMORY_AND_DISK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [cleaned(r["lines"], r["labels"], r["block_type"], r["fixes"] or []) for r in b.to_pylist()]
-            keep = [n for n in b.schema.names if n not in ("lines", "labels", "fixes")]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in keep), pa.array(out, pa.string())], names=[*keep, "text"])
-
-    rows = body.join(fixes, "block_id", "left").select("block_id", "document_id", "block_type", "page_start", "page_end", "ordinal", "goes_on", "lines", "labels", "fixes")
-    clean = rows.mapInArrow(run, "block_id string, document_id string, block_type string, page_start bigint, page_end bigint, ordinal bigint, goes_on boolean, text string")
-    order = Window.partitionBy("document_id").orderBy("ordinal", "block_id")
-    running = clean.where(F.col("block_type") != "figure_label")
-    begun = running.withColumn("begins", ~F.coalesce(F.lag("goes_on").over(order), F.lit(False)))
-    island = begun.withColumn("paragraph", F.sum(F.col("begins").cast("long")).over(order))
-    parts = F.sort_array(F.collect_list(F.struct("ordinal", "block_id", "text")))
-    whole = island.groupBy("document_id", "paragraph").agg(parts.alias("p"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"))
-    join = F.aggregate(F.slice("p", 2, 1_000_000), F.col("p")[0]["text"], _joined)
-    return whole.select("document_id", F.transform("p", lambda x: x["block_id"]).alias("block_ids"), "page_start", "page_end", join.alias("text"))
+            out = [cleaned(r["lines"], r["labels"], r["block_type"], r["fixes"] or [], r["next_line"] if r["goes_on"] else None) for r in b.to_pylist()]
+            keep = ["block_id", "text_of"]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([g for _, g in out], pa.bool_())], names=[keep[0], "text", "glued"])
+
+    clean = body.select("block_id", "block_type", "lines", "labels", "goes_on", "next_line").join(fixes, "block_id", "left").mapInArrow(run, "block_id string, text string, glued boolean")
+    place = body.where(F.col("block_type") != "figure_label").select("block_id", "document_id", "home", "ordinal", "page_start", "page_end", "continues")
+    begin = F.when(~F.col("continues"), F.struct("ordinal", "block_id"))
+    borders = place.groupBy("document_id", "home").agg(F.max(begin).alias("last"))
+    earlier = Window.partitionBy("document_id").orderBy("home").rowsBetween(Window.unboundedPreceding, -1)
+    borders = borders.select("document_id", "home", F.last("last", ignorenulls=True).over(earlier).alias("open"))
+    within = Window.partitionBy("document_id", "home").orderBy("ordinal", "block_id").rowsBetween(Window.unboundedPreceding, 0)
+    head = place.withColumn("__head", F.last(begin, ignorenulls=True).over(within)).join(borders, ["document_id", "home"])
+    head = head.withColumn("__head", F.coalesce("__head", "open", F.struct("ordinal", "block_id")))
+    parts = F.sort_array(F.collect_list(F.struct("ordinal", "block_id", "text", "glued")))
+    whole = head.join(clean, "block_id").groupBy("document_id", "__head").agg(parts.alias("p"), F.min(_page("page_start")).alias("page_start"), F.max(_page("page_end")).alias("page_end"))
+    nothing = F.struct(F.lit("").alias("text"), F.lit(True).alias("glued"))
+    text = F.aggregate("p", nothing, _joined, lambda x: x["text"])
+    return whole.select("document_id", F.transform("p", lambda x: x["block_id"]).alias("block_ids"), "page_start", "page_end", text.alias("text"))
+
+
+def _page(name: str) -> Column:
+    return F.when(F.col(name) >= 0, F.col(name))
 
 
 def _joined(done: Column, part: Column) -> Column:
-    """Two parts of a paragraph: a word broken by a mark of the end is joined, Han needs no space."""
-    broken = done.rlike(f"[{MARKS}]$")
-    han = done.rlike(f"[{_HAN}，。、；：]$") & part["text"].rlike(f"^[{_HAN}]")
-    return F.when(broken, F.concat(F.regexp_replace(done, f"[{MARKS}]$", ""), part["text"])).when(han, F.concat(done, part["text"])).otherwise(F.concat(done, F.lit(" "), part["text"]))
+    """Two parts of a paragraph: after a broken word and between Han there is no space."""
+    han = done["text"].rlike(f"[{_HAN}，。、；：]$") & part["text"].rlike(f"^[{_HAN}]")
+    text = F.concat(done["text"], F.when(done["glued"] | han, "").otherwise(" "), part["text"])
+    return F.struct(text.alias("text"), part["glued"].alias("glued"))
 
 
-def cleaned(lines: list[str], labels: list[int], block_type: str, fixes: list[dict]) -> str:
-    """A block's text without its headers, in one line if it is running text."""
+def cleaned(lines: list[str], labels: list[int], block_type: str, fixes: list[dict], next_line: str | None = None) -> tuple[str, bool]:
+    """A block's text without its headers, in one line if it is running text, and whether the first line of the next block, given if the
+    paragraph goes on there, must follow without a space. A mark that breaks a word goes; one that is part of it stays."""
     text = "\n".join(x for x, k in zip(lines, labels, strict=True) if k)
     if block_type not in RUNNING:
-        return text
+        return text, False
     joins = {f["word"] for f in fixes if f["kind"] == "hyphen"}
-    text = _BROKEN.sub(lambda m: m[1] + m[2] if m[1].lstrip("-") + "-" + m[2] in joins else m[1] + "-" + m[2], text)
+
+    def mended(m: re.Match) -> str:
+        return m[1] if m[1].lstrip("-") + "-" + m[2] in joins else m[1] + "-"
+
+    glued = False
+    if next_line and re.search(rf"\w[{MARKS}]\s*$", text):
+        for m in _BROKEN.finditer(text + "\n" + next_line):
+            if m.end(2) > len(text):
+                text, glued = text[: m.start()] + mended(m), True
+                break
+    text = _BROKEN.sub(lambda m: mended(m) + m[2], text)
     words = {f["word"]: f["right"] for f in fixes if f["kind"] == "misread"}
     text = _WORD.sub(lambda m: words.get(m[0], m[0]), text)
     text = re.sub(rf"(?<=[{_HAN}，。、；：？！])\n(?=[{_HAN}，。、；：？！“”])", "", text)
-    for w, right in words.items():
-        if w.startswith("3:"):
-            text = text.replace(w[2:].strip("^$"), right.strip("^$"))
-    return re.sub(r"\s*\n\s*", " ", text)
+    if any(w.startswith("3:") for w in words):
+        text = _RUN.sub(lambda m: _printed(m[0], words), text)
+    return re.sub(r"\s*\n\s*", " ", text), glued
+
+
+def _printed(run: str, words: dict[str, str]) -> str:
+    """A Han run with the middle of each misread triple put right; the triple stands where its neighbours do."""
+    t = f"^{run}$"
+    return "".join(words.get("3:" + t[i : i + 3], t[i : i + 3])[1] for i in range(len(run))) if len(run) > 1 else run

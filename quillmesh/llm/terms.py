@@ -14,8 +14,9 @@ score, as a run of n characters has about n * n / 2 of them. Their length is cou
 scores are of its entries wherever they stand: an entry that begins or ends with a Latin letter or a digit must not stand
 inside a longer word or number there, any other entry counts wherever it occurs, overlapping occurrences included.
 
-A vocabulary of at most ``MOST_TERMS`` terms is looked for with one automaton, sent to the workers; a larger one is
-joined with the terms of the texts by shuffle, to the same result. Statistics cover all records, repeated ids once. Null and empty
+A vocabulary of any size stays distributed. Its terms are put into a Bloom filter of fixed size by a rolling hash, and every substring of a text
+that has the length of some term is held against the filter, all at once for each length; the few that pass are compared
+with the vocabulary itself by joins. Statistics cover all records, repeated ids once. Null and empty
 texts are records without terms: they count in N and have length 0. Ties are broken by term.
 """
 
@@ -26,6 +27,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -36,7 +38,9 @@ from quillmesh.session import ship, spread
 #: Lengths of the terms of scripts without spaces; a longer run is one term more, as a whole.
 GRAMS = tuple(range(1, 17))
 C = 1.0
-MOST_TERMS = 200_000
+#: Size of the filter of a vocabulary: 8 MB, whatever its number of terms.
+FILTER_BITS = 1 << 26
+FILTER_HASHES = 4
 #: Scripts without spaces between words, as ranges of code points (fixed values).
 _NO_SPACES = "฀-໿က-႟ក-៿々-〇぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 #: Combining marks of the scripts with spaces: vowel signs, viramas and accents belong to the word before them.
@@ -94,56 +98,97 @@ def all_terms(folded: str, grams: tuple[int, ...] | None = None) -> Counter:
     return out
 
 
-def count_in(folded: str, automaton: object) -> Counter:
-    """Counts of the automaton's terms in a folded text."""
-    out: Counter = Counter()
-    for end, term in automaton.iter(folded):  # type: ignore[attr-defined]
-        if stands_alone(folded, end + 1 - len(term), end + 1):
-            out[term] += 1
-    return out
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _spread_bits(h: np.ndarray) -> list[np.ndarray]:
+    """The places of hashes in the filter."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    return [(low + high * np.uint64(i)) % np.uint64(FILTER_BITS) for i in range(FILTER_HASHES)]
+
+
+class Roller:
+    """Hashes of all substrings of a length, as polynomials over the code points modulo 2 ** 64."""
+
+    def __init__(self) -> None:
+        self.powers = self.back = np.ones(1, np.uint64)
+
+    def prefix(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(7)
+        while len(self.powers) <= len(codes):
+            grown = np.empty(2 * len(self.powers) + len(codes), np.uint64)
+            grown[0] = 1
+            grown[1:] = _BASE
+            self.powers = np.multiply.accumulate(grown)
+        return np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(codes * self.powers[: len(codes)])])
+
+    def of_length(self, prefix: np.ndarray, n: int) -> np.ndarray:
+        m = len(prefix) - n
+        while len(self.back) < m:  # base ** -i: the base is odd and has an inverse
+            steps = np.full(2 * m, pow(_BASE, -1, 1 << 64), np.uint64)
+            steps[0] = 1
+            self.back = np.multiply.accumulate(steps)
+        return (prefix[n:] - prefix[:m]) * self.back[:m]
+
 
+def hash_of(term: str, roller: Roller) -> int:
+    return int(roller.prefix(term)[-1])
 
-def every_start(folded: str, lengths: list[int]) -> Counter:
-    """All substrings of the given lengths that may stand as terms; for vocabularies too large for an automaton."""
+
+def filtered(folded: str, lengths: list[int], bits: np.ndarray, roller: Roller) -> Counter:
+    """The substrings that may be terms of the vocabulary, by the filter, with their counts."""
     out: Counter = Counter()
+    prefix = roller.prefix(folded)
     for n in lengths:
-        for i in range(len(folded) - n + 1):
+        if n >= len(prefix):
+            break
+        h = roller.of_length(prefix, n)
+        at = np.arange(len(h))
+        for place in _spread_bits(h):  # each hash thins out the places that the next one looks at
+            here = place[at]
+            at = at[(bits[(here >> np.uint64(5)).astype(np.int64)] >> (here & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1]
+            if not len(at):
+                break
+        for i in at.tolist():
             if stands_alone(folded, i, i + n):
                 out[folded[i : i + n]] += 1
     return out
 
 
-def term_counts(records: DataFrame, vocabulary: DataFrame | None = None, most_terms: int = MOST_TERMS) -> DataFrame:
+def vocabulary_filter(vocabulary: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """The filter of a vocabulary (term) and the lengths of its terms; both are bounded by the filter's size and the longest term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roller = Roller()
+        for b in batches:
+            words = b.column(0).to_pylist()
+            h = np.fromiter((hash_of(w, roller) for w in words), np.uint64, len(words))
+            places = np.concatenate(_spread_bits(h)).astype(np.int64) if words else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(places >> 5), pa.array(np.int64(1) << (places & 31))], names=["at", "bit"])
+
+    cells = vocabulary.select("term").mapInArrow(run, "at bigint, bit bigint").groupBy("at").agg(F.expr("bit_or(bit)").alias("bit")).toPandas()
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    bits[cells["at"].to_numpy(np.int64)] = cells["bit"].to_numpy(np.int64).astype(np.uint32)
+    return bits, sorted(r.n for r in vocabulary.select(F.char_length("term").alias("n")).distinct().collect())
+
+
+def term_counts(records: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(record_id, dl, terms: array of term and tf) of records (record_id, text), one row each, so that repeated rows
-    are found by their ids alone. ``vocabulary`` has a column ``term`` of folded terms."""
+    are found by their ids alone. ``vocabulary`` has a column ``term`` of folded terms; a few terms outside it may come along."""
     spark = records.sparkSession
     ship(spark)
-    words: list[str] | None = None
-    lengths: list[int] = []
-    if vocabulary is not None:
-        vocabulary = vocabulary.where("term is not null and term != ''").select("term").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-        few = vocabulary.limit(most_terms + 1).collect()
-        if len(few) <= most_terms:
-            words = [r.term for r in few]
-        else:
-            lengths = [r.n for r in vocabulary.select(F.char_length("term").alias("n")).distinct().limit(10_000).collect()]
-    sent = spark.sparkContext.broadcast(words)
     every = vocabulary is None
+    sent = spark.sparkContext.broadcast(None if every else vocabulary_filter(vocabulary.where("term is not null and term != ''").select("term").distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = None
-        if sent.value:
-            automaton = ahocorasick.Automaton()
-            for w in sent.value:
-                automaton.add_word(w, w)
-            automaton.make_automaton()
+        roller = Roller()
+        bits, lengths = sent.value or (None, None)
         for b in (part.slice(i, 128) for part in batches for i in range(0, part.num_rows, 128)):  # bounds the counts in memory
             sizes, at, found_terms, tfs = [], [0], [], []
             for t in b.column(1).to_pylist():
                 text = fold(t or "")
-                counts = all_terms(text) if every else count_in(text, automaton) if automaton else every_start(text, lengths)
+                counts = all_terms(text) if every else filtered(text, lengths, bits, roller)
                 sizes.append(units(text))
                 found_terms += counts.keys()
                 tfs += counts.values()
@@ -152,11 +197,7 @@ def term_counts(records: DataFrame, vocabulary: DataFrame | None = None, most_te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), found)], names=["record_id", "dl", "terms"])
 
     source = records.where("record_id is not null").select(F.col("record_id").cast("string"), "text")
-    out = spread(source).mapInArrow(run, "record_id string, dl bigint, terms array<struct<term:string,tf:bigint>>").dropDuplicates(["record_id"])
-    if lengths:
-        kept = exploded(out).join(vocabulary, "term", "left_semi").groupBy("record_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
-        out = out.drop("terms").join(kept, "record_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<term:string,tf:bigint>>")))
-    return out
+    return spread(source).mapInArrow(run, "record_id string, dl bigint, terms array<struct<term:string,tf:bigint>>").dropDuplicates(["record_id"])
 
 
 def exploded(counts: DataFrame) -> DataFrame:
@@ -180,10 +221,13 @@ def scored(counts: DataFrame, wanted: DataFrame, c: float = C) -> DataFrame:
     return wanted.join(f, "term").select(*wanted.columns, score)
 
 
-def scores(records: DataFrame, vocabulary: DataFrame | None = None, c: float = C, most_terms: int = MOST_TERMS) -> DataFrame:
+def scores(records: DataFrame, vocabulary: DataFrame | None = None, c: float = C) -> DataFrame:
     """(record_id, term, tf, score) of every term in every record that has it."""
-    counts = term_counts(records, vocabulary, most_terms).persist(StorageLevel.MEMORY_AND_DISK)
-    return scored(counts, exploded(counts), c).select("record_id", "term", "tf", "score")
+    counts = term_counts(records, vocabulary).persist(StorageLevel.MEMORY_AND_DISK)
+    wanted = exploded(counts)
+    if vocabulary is not None:
+        wanted = wanted.join(vocabulary.select("term").distinct(), "term", "left_semi").select("record_id", "dl", "term", "tf")
+    return scored(counts, wanted, c).select("record_id", "term", "tf", "score")
 
 
 def distinctive(probes: DataFrame, records: DataFrame, c: float = C) -> DataFrame:

@@ -41,6 +41,8 @@ OCCUPANCY = 64
 REGION = 1024
 #: Half precision moves a cosine by less than this.
 HALF = 2e-3
+#: Most spaces whose orders of magnitude, two numbers each, are broadcast; more are joined by shuffle.
+MOST_SENT = 100_000
 TABLES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 ROTATIONS = 8
 #: A row sent costs about as much as so many candidates compared.
@@ -311,9 +313,11 @@ def candidates(reps: DataFrame, goal: Goal, k: int | None, least: float) -> Data
     """(vec_a, vec_b, cosine in half precision) among representatives (rep, space, dims, unit)."""
     spark = reps.sparkSession
     magnitude = reps.groupBy("space", "dims").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("magnitude"))
-    orders = magnitude.select("dims", "magnitude").distinct().collect()  # at most some 40 orders of magnitude for each number of dimensions
+    orders = magnitude.groupBy("dims", "magnitude").agg(F.count("*").alias("spaces")).collect()  # at most some 40 orders of magnitude for each number of dimensions
     plans = {(r.dims, r.magnitude): planned(r.dims, r.magnitude, goal) for r in orders}
-    table = hashed(spread(reps.join(magnitude, ["space", "dims"])), plans).persist(StorageLevel.MEMORY_AND_DISK)
+    few = sum(r.spaces for r in orders) <= MOST_SENT
+    sized = reps.join(F.broadcast(magnitude) if few else magnitude, ["space", "dims"])  # few spaces are few keys, so no shuffle by them
+    table = hashed(spread(sized), plans).persist(StorageLevel.MEMORY_AND_DISK)
     key = ["space", "tab", "region"]
     hot = table.groupBy(*key).agg(F.ceil(F.count("*") / goal.block).cast("int").alias("blocks")).where("blocks > 1")
     at = table.join(hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -1,8 +1,10 @@
 """Vectors, look-alikes, scans, languages."""
 
+import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,13 +167,75 @@ def test_scans(spark):
     furniture = {b for b, k in got if k == "furniture"}
     want = {r.block_id for r in df.where("document_id = 'd'").collect() if r.text and "\n" not in r.text and ("LESEBUCH" in r.text or r.text.endswith("/99"))}
     assert furniture == want
-    assert {tuple(r) for r in scans.findings(df, most=0).collect()} == got  # by joins instead of a sent list
     text = [r.text for r in scans.paragraphs(df).collect()]
     assert "Der Rechner speichert die Nachricht. Der TCP-Absender sendet." in text and "Das Fenster bleibt offen." in text
     assert "Der Rechner sendet jeden Rahmen und speichert die Nachricht." in text and not any("/99" in t or "LESEBUCH" in t for t in text)
     assert scans.findings(df.where("document_id = 'e'")).count() == 0
 
 
+def group(rows):
+    f = pd.DataFrame([(f"b{i}", "d", text, kind, "Kapitel", page, page, i) for i, (text, kind, page) in enumerate(rows)], columns=["block_id", "document_id", "text", "block_type", "head", "page_start", "page_end", "ordinal"])
+    f["ingested_at"], f["home"], f["part"] = None, 0, 0
+    return scans.in_order(f, pd.DataFrame({"key": ["lesebuch kleine netze"]}))
+
+
+def pages(last="der Rechner sendet jeden Rahmen"):
+    """Pages with a header, paragraphs and a number; ``last`` ends the last block of page 5, goes on there on page 6."""
+    rows = []
+    for page in range(1, 41):
+        rows.append(("LESEBUCH KLEINE NETZE", "paragraph", page))
+        if page % 5 == 1 and page > 1:
+            rows.append(("und speichert die Nachricht im Puffer.\nDas Fenster bleibt offen.", "paragraph", page))
+        rows.append(("Der Rechner sendet den Rahmen über die\nLeitung und wartet auf die Antwort.", "paragraph", page))
+        rows.append((f"Tabelle {page}", "section_heading", page))
+        rows.append(("Das Fenster bleibt offen, bis der Puffer\n" + (last if page % 5 == 0 else "leer ist und die Nachricht ankommt."), "paragraph", page))
+        rows.append((f"{page + 10}", "paragraph", page))
+    return rows
+
+
+def test_context_decides_between_equal_lines():
+    """Two lines with the same features: the one after which the paragraph goes on over the page is body, the other one a break."""
+    lines = scans.observed(group(pages()))
+    model = scans.Model.trained([([r.seen for r in lines], [r.weak for r in lines])])
+    rows = pages()
+    at = next(i for i, r in enumerate(rows) if r[2] == 36 and r[0].startswith("und speichert"))
+    rows[at] = ("Am Morgen ist der Puffer wieder so\nleer wie am Abend.", "paragraph", 36)
+    f = group(rows)
+    lines = scans.observed(f)
+    labels = [scans.LABELS[s] for s in model.path([r.seen for r in lines])]
+    ends = {f["page_start"][r.row]: (r.seen, label) for r, label in zip(lines, labels, strict=True) if r.text.startswith("der Rechner sendet")}
+    assert ends[35][0] == ends[30][0] and ends[30][1] == scans.BODY and ends[35][1] == scans.BREAK
+    assert [r.weak for r in lines if r.text.startswith("der Rechner sendet")].count(scans.BODY) == 8  # the first guess knew no better
+    assert {r.text for r, label in zip(lines, labels, strict=True) if label == scans.HEADER} == {"LESEBUCH KLEINE NETZE", *(str(p + 10) for p in range(1, 41))}
+
+
+def test_paths_are_the_likeliest():
+    rng = np.random.default_rng(7)
+    lines = scans.observed(group(pages()[:40]))
+    model = scans.Model.trained([([r.seen for r in lines], [r.weak for r in lines])])
+    for _ in range(5):
+        seen = [lines[i].seen for i in rng.integers(0, len(lines), 5)]
+
+        def worth(path, seen=seen):
+            total, before = 0.0, scans.END
+            for s, o in zip(path, seen, strict=True):
+                total += model.move[o[0], before, s] + model.score(o)[s]
+                before = s
+            return total
+
+        best = max(worth(p) for p in itertools.product(range(scans.STATES), repeat=5))
+        assert worth(model.path(seen)) == pytest.approx(best)
+
+
+def test_cleaned_text_keeps_what_is_printed():
+    fix = [{"kind": "misread", "word": "3:^乙丙", "right": "^戊丙"}]
+    assert scans.cleaned(["甲乙丙。丁乙丙。乙丙"], [2], "paragraph", fix) == ("甲乙丙。丁乙丙。戊丙", False)  # only where the run begins with it
+    assert scans.cleaned(["Wir gehen zum TCP-"], [1], "paragraph", [], "Absender der Daten") == ("Wir gehen zum TCP-", True)
+    broken = [{"kind": "hyphen", "word": "Rech-ner", "right": "Rechner"}]
+    assert scans.cleaned(["Wir sehen den Rech-"], [1], "paragraph", broken, "ner dort.") == ("Wir sehen den Rech", True)
+    assert scans.cleaned(["Wir sehen -"], [1], "paragraph", [], None) == ("Wir sehen -", False)
+
+
 def test_page_numbers():
     for t in ("12", "- 7 -", "[l2]", "27/3lO", "Page 7O", "xiv", "第 3 页", "p. 4", "· 8 ·", "— 9 —"):
         assert scans.is_number(t), t

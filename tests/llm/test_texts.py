@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,6 +55,8 @@ def test_cut_poisson_has_the_mean():
     for rate, most in ((0.3, 1), (0.9, 3), (2.7, 3), (5.0, 8)):
         below = mixing.cut_poisson(rate, most)
         assert most - sum(below) == pytest.approx(rate, abs=1e-6) and below == sorted(below)
+    below = mixing.cut_poisson(1000.0, 2000)  # far beyond what exp(-rate) can hold
+    assert 2000 - sum(below) == pytest.approx(1000, rel=1e-6)
     assert mixing.cut_poisson(3, 3) == [0.0] * 3 and mixing.cut_poisson(0, 2) == [1.0] * 2
 
 
@@ -112,6 +115,11 @@ def test_cut_kinds_over_range_borders(spark):
     assert pieces.cut_kinds(df.limit(0), limits).count() == 0
 
 
+def test_limit_must_exceed_the_overlap():
+    with pytest.raises(ValueError):
+        pieces.work_range(b"x" * 300, 0, 0, False, False, 50, 60)
+
+
 def test_files_are_split_by_offset(spark, tmp_path):
     text = "Ein Satz mit Wörtern. " * 2000
     (tmp_path / "big.txt").write_text(text, encoding="utf-8")
@@ -123,12 +131,11 @@ def records(spark, rows):
     return spark.createDataFrame(rows, "record_id string, text string")
 
 
-def test_terms_by_both_ways_and_formula(spark):
+def test_terms_of_a_vocabulary_and_formula(spark):
     rows = [("1", "TCP tcp window 网络网络"), ("2", "ＴＣＰ router xTCPx tcp_1"), ("3", None), ("4", ""), ("1", "TCP tcp window 网络网络")]
     vocabulary = spark.createDataFrame([("tcp",), ("网络",), ("nothing",)], "term string")
     few = {(r.record_id, r.term): (r.tf, round(r.score, 9)) for r in terms.scores(records(spark, rows), vocabulary).collect()}
-    many = {(r.record_id, r.term): (r.tf, round(r.score, 9)) for r in terms.scores(records(spark, rows), vocabulary, most_terms=1).collect()}
-    assert few == many and {k: v[0] for k, v in few.items()} == {("1", "tcp"): 2, ("1", "网络"): 2, ("2", "tcp"): 2}
+    assert {k: v[0] for k, v in few.items()} == {("1", "tcp"): 2, ("1", "网络"): 2, ("2", "tcp"): 2}
     lengths = [terms.units(terms.fold(t or "")) for t in (rows[0][1], rows[1][1], "", "")]
     n, avgdl, lam = 4, sum(lengths) / 4, 4 / 4
     tfn = 2 * math.log2(1 + avgdl / lengths[0])
@@ -136,6 +143,22 @@ def test_terms_by_both_ways_and_formula(spark):
     assert n == 4
 
 
+def test_filter_finds_every_substring_of_the_vocabulary():
+    rng = random.Random(3)
+    text = "".join(rng.choice("ab字é ") for _ in range(400))
+    words = {text[i : i + n] for n in (1, 2, 5, 17, 60) for i in range(0, 300, 7)}
+    roller = terms.Roller()
+    bits = np.zeros(terms.FILTER_BITS // 32, np.uint32)
+    for w in words:
+        for place in terms._spread_bits(np.array([terms.hash_of(w, roller)], np.uint64)):
+            bits[int(place[0]) >> 5] |= np.uint32(1 << (int(place[0]) & 31))
+    got = terms.filtered(text, sorted({len(w) for w in words}), bits, roller)
+    for w in words:
+        want = sum(text.startswith(w, i) and terms.stands_alone(text, i, i + len(w)) for i in range(len(text)))
+        assert got[w] == want
+    assert set(got) <= words  # false positives are rare in a filter so empty
+
+
 def test_distinctive_prefers_rare_shared_terms(spark):
     rows = [(str(i), f"the network sends data number {i} " + ("zorfle zorfle" if i < 3 else "")) for i in range(30)]
     probes = spark.createDataFrame([(1, "0", ["network", "Zorfle", "data", None, "absent"]), (1, "0", ["network"]), (2, "9", ["absent"]), (3, "nope", ["data"]), (4, "5", None)], "probe_id long, record_id string, candidates array<string>")
