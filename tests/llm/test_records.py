@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -276,11 +277,33 @@ def test_languages(spark):
     assert all(mixed[r.start_pos : r.end_pos].endswith(".") and 0 < r.confidence <= 1 for r in stretches)
 
 
-def test_products_are_those_of_the_bundle():
+def test_cosines_are_those_of_the_bundles():
     protos = np.random.default_rng(1).normal(size=(3, language.DIMENSIONS)).astype(np.float32)
     space = language.Space(protos)
-    grams = language.grams_of(language.letters_of("The quick brown fox jumps."))
-    assert np.allclose(space.products(grams), protos @ space.bundle(grams), rtol=1e-3, atol=1e-2)
+    words = [language.letters_of(t) for t in ("The quick brown fox jumps.", "", "Другой узел ждёт ответа.", "网络 网络")]
+    got = space.cosines(words)
+    assert np.allclose(got, space.cosines(words)) and not got[1].any()
+    for w, cos in zip(words, got, strict=True):
+        grams = Counter(g for n in (1, 2, 3) for i in range(len(w) + 3 - n) if (g := f" {w} "[i : i + n]) != " " and w)
+        bundle = np.zeros(language.DIMENSIONS)
+        for g, n in grams.items():
+            v = space.letter(g[0])
+            for c in g[1:]:
+                v = np.roll(v, 1) * space.letter(c)
+            bundle += n * v.astype(float)
+        if grams:
+            assert np.allclose(cos, protos @ bundle / np.sqrt(language.DIMENSIONS * sum(n * n for n in grams.values())), atol=1e-3)
+
+
+def test_full_table_of_products_stays_right(monkeypatch):
+    monkeypatch.setattr(language, "SLOT_BITS", 4)
+    monkeypatch.setattr(language, "SLOTS", 16)
+    protos = np.random.default_rng(1).normal(size=(3, language.DIMENSIONS)).astype(np.float32)
+    small = language.Space(protos)
+    codes = np.unique(language.gram_codes(["the sliding window waits for every frame"])[1])
+    want = small._met(codes)
+    for _ in range(3):
+        assert np.allclose(small.products(codes), want)
 
 
 def test_mixed_tokens_are_confirmed_by_texts_of_any_script(spark):
