@@ -8,6 +8,8 @@ ORACLE: dict[str, str] = {
     "p1_found": f"WITH {_USABLE} SELECT a.vec_id AS vec_a, b.vec_id AS vec_b FROM v a JOIN v b USING (space) WHERE a.vec_id < b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95",
     "p1_exact": f"""WITH {_USABLE}, n AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.x, b.x) DESC, b.vec_id) AS n
         FROM v a JOIN v b USING (space) WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) SELECT vec_a, vec_b FROM n WHERE n <= 10""",
+    "p6_ranges": """WITH t AS (SELECT DISTINCT 'block_text' AS field_name, block_id AS record_id, text FROM normalized_blocks UNION SELECT 'chunk_content', chunk_id, content FROM knowledge_chunks UNION SELECT 'chunk_index_text', chunk_id, index_text FROM knowledge_chunks)
+        SELECT field_name, record_id, length(text) AS chars, 0 AS gaps, 0 AS too_long, 0 AS too_much_overlap FROM t JOIN size_limits USING (field_name) WHERE length(text) > max_chars""",
     "p6_found": f"""WITH t AS (SELECT DISTINCT 'block_text' AS field_name, block_id AS record_id, text FROM normalized_blocks UNION SELECT 'chunk_content', chunk_id, content FROM knowledge_chunks UNION SELECT 'chunk_index_text', chunk_id, index_text FROM knowledge_chunks)
         SELECT field_name, record_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '{_STOPS}'), lambda x: length(x))) > max_chars THEN 'forced' ELSE 'natural' END AS cut_kind FROM t JOIN size_limits USING (field_name) WHERE length(text) > max_chars""",
 }

@@ -56,6 +56,14 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split(*_limited(spark, d))
 
 
+@query
+def p6_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of ``p6_pieces`` again, by ranges of 2 KB, so that most texts are stitched; per record its characters as the pieces cover them,
+    their gaps and their breaches of the limit."""
+    texts, limits = _limited(spark, d)
+    return pieces.coverage(pieces.split(texts, limits, range_bytes=2048), limits)
+
+
 def _index_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "knowledge_chunks").selectExpr("chunk_id as record_id", "index_text as text")
 
@@ -124,7 +132,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_sentences(spark: SparkSession, d: str) -> DataFrame:
     blocks, chunks = _sentence_texts(spark, d)
     both = blocks.selectExpr("concat('block\\0', id) as key", "text").unionByName(chunks.selectExpr("concat('chunk\\0', id) as key", "text"))
-    found = sentences.once_each(sentences.sentence_table(both))
+    return _sentences(sentences.once_each(sentences.sentence_table(both)))
+
+
+@query
+def p5_chunked(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of ``p5_sentences`` again, by a prefix scan over chunks of 2 KB, so that long texts have several."""
+    blocks, chunks = _sentence_texts(spark, d)
+    both = blocks.selectExpr("concat('block\\0', id) as key", "text").unionByName(chunks.selectExpr("concat('chunk\\0', id) as key", "text"))
+    return _sentences(sentences.once_each(sentences.sentence_table(both, chunk=2048)))
+
+
+def _sentences(found: DataFrame) -> DataFrame:
     return found.selectExpr("split_part(key, '\\0', 1) as record_kind", "split_part(key, '\\0', 2) as record_id", "posexplode(ends) as (n, end_pos)").withColumn("n", F.col("n") + 1)
 
 

@@ -29,7 +29,6 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -57,6 +56,12 @@ _AS_DIGITS = str.maketrans("lIiOoSsBZzgq", "111005582299")
 _LETTER = rf"[^\W_{_HAN}]"
 _WORD = re.compile(rf"{_LETTER}+(?:[-‐‑'’]{_LETTER}+)*")
 _RUN = re.compile(f"[{_HAN}]+")
+_DIGITS = re.compile(r"\d+")
+_WITH_DIGITS = re.compile(r"\w*\d\w*")
+_AROUND = re.compile(r"^[#\s]+|[#\s]+$")
+_CAN_START = re.compile(r"[^\W_]")
+_SOME_LETTER = re.compile(r"[^\W\d_]")
+_BLANKS = re.compile(r"\s{2,}|[^\S ]")
 _MARKED = re.compile(rf"[{MARKS}][ \t]*(?:\n|$)")
 _BROKEN = re.compile(rf"((?:{_LETTER}|[-_])+)[{MARKS}][ \t]*\n[ \t]*({_LETTER}+(?:-\w+)*)")
 
@@ -73,7 +78,7 @@ def is_number(line: str) -> bool:
 
 def as_digits(line: str) -> str:
     """Letters that stand for digits put right, in tokens that have a digit."""
-    return re.sub(r"\w*\d\w*", lambda m: m[0].translate(_AS_DIGITS), line)
+    return _WITH_DIGITS.sub(lambda m: m[0].translate(_AS_DIGITS), line)
 
 
 def number_in(line: str) -> int | None:
@@ -84,7 +89,9 @@ def number_in(line: str) -> int | None:
 
 def key_of(line: str) -> str:
     """A line with its numbers and case taken out."""
-    return re.sub(r"\s+", " ", re.sub(r"\d+", "#", line)).strip().casefold()
+    if _DIGITS.search(line):
+        line = _DIGITS.sub("#", line)
+    return (_BLANKS.sub(" ", line) if _BLANKS.search(line) else line).strip().casefold()
 
 
 def key_column(line: Column) -> Column:
@@ -109,6 +116,7 @@ START, INSIDE, END, SINGLE, OVER_OPEN, OVER_CLOSED = range(6)
 STATES = 6
 #: What may come before each state: an open paragraph or none.
 FROM = ((END, SINGLE, OVER_CLOSED), (START, INSIDE, OVER_OPEN), (START, INSIDE, OVER_OPEN), (END, SINGLE, OVER_CLOSED), (START, INSIDE, OVER_OPEN), (END, SINGLE, OVER_CLOSED))
+_FOLLOWING = [(came, [k for k in range(STATES) if FROM[k] == came]) for came in sorted(set(FROM))]
 HEADER, BODY, BREAK = 0, 1, 2
 LABELS = (BODY, BODY, BREAK, BREAK, HEADER, HEADER)
 _TYPES = {"paragraph": 0, "list_item": 1, "section_heading": 2, "document_title": 2}
@@ -116,6 +124,10 @@ _TYPES = {"paragraph": 0, "list_item": 1, "section_heading": 2, "document_title"
 SIZES = ((16, 4), (16, 5), (4, 20), (1, 22))
 
 
+#: Rows of one group, by column.
+Group = dict[str, list]
+
+
 class Line(NamedTuple):
     row: int
     text: str
@@ -124,22 +136,23 @@ class Line(NamedTuple):
 
 
 def begin_of(line: str) -> int:
-    c = next((c for c in line if c.isalnum()), "")
+    m = _CAN_START.search(line)
+    c = m[0] if m else ""
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
 def end_of(line: str) -> int:
     t = line.rstrip()
-    return 4 if not any(c.isalpha() for c in t) else 0 if _TERMINAL.search(t) else 1 if t[-1] in MARKS else 2 if t[-1] in ",，、" else 3
+    if not _SOME_LETTER.search(t):
+        return 4
+    return 1 if t[-1] in MARKS else 2 if t[-1] in ",，、" else 0 if _TERMINAL.search(t) else 3
 
 
-def observed(f: pd.DataFrame) -> list[Line]:
+def observed(f: Group) -> list[Line]:
     """The lines of a group, whose rows are in reading order, with their place in the block and four features of the layout: how
     they begin, how they end, their room on the page, and their likeness to page numbers or to lines of other pages."""
-    n = len(f)
-    texts, types = f["text"].tolist(), f["block_type"].tolist()
-    first, last = f["page_start"].tolist(), f["page_end"].tolist()
-    repeats, heads = f["repeats"].tolist(), f["head"].tolist()
+    n = len(f["text"])
+    texts, types, first, last, repeats, heads = (f[c] for c in ("text", "block_type", "page_start", "page_end", "repeats", "head"))
     lines = [t.split("\n") if isinstance(t, str) else [] for t in texts]
     on_page: dict[int, list[int]] = defaultdict(list)
     for i in range(n):
@@ -180,8 +193,8 @@ def observed(f: pd.DataFrame) -> list[Line]:
                     style = int(key_of(as_digits(line)) in styles)
                 else:
                     k = key_of(line)
-                    worded = any(c.isalpha() for c in k)
-                    bare = re.sub(r"^[#\s]+|[#\s]+$", "", k)
+                    worded = _SOME_LETTER.search(k) is not None
+                    bare = _AROUND.sub("", k)
                     repeat = int(worded and (k in head_keys or alone and repeats[i]))
                     title = int(worded and bool({k, bare} & titles))
                     if worded and not repeat and not title and (alone and edge[i] or long < 45) and not _TERMINAL.search(line) and any(similar(k, x) or similar(bare, x) for x in likes):
@@ -253,24 +266,26 @@ class Model:
         return got
 
     def path(self, seen: list[tuple[int, ...]]) -> list[int]:
-        """The Viterbi path; plain numbers, since so few states are too few for arrays to pay."""
+        """The Viterbi path; plain numbers, since so few states are too few for arrays to pay. States that follow an open paragraph
+        look at the three open ones, the others at the three closed ones."""
         total = [0.0 if k == END else -1e9 for k in range(STATES)]
         back = []
         for o in seen:
             e, ways = self.score(o), self.ways[o[0]]
-            new, came = [], []
-            for k in range(STATES):
-                (p, x), (q, y), (r, z) = ways[k]
-                x, y, z = total[p] + x, total[q] + y, total[r] + z
-                if x >= y and x >= z:
-                    new.append(x + e[k])
-                    came.append(p)
-                elif y >= z:
-                    new.append(y + e[k])
-                    came.append(q)
-                else:
-                    new.append(z + e[k])
-                    came.append(r)
+            new, came = [0.0] * STATES, [0] * STATES
+            for (p, q, r), following in _FOLLOWING:
+                u, v, w = total[p], total[q], total[r]
+                for k in following:
+                    (_, x), (_, y), (_, z) = ways[k]
+                    x += u
+                    y += v
+                    z += w
+                    if x >= y and x >= z:
+                        new[k], came[k] = x + e[k], p
+                    elif y >= z:
+                        new[k], came[k] = y + e[k], q
+                    else:
+                        new[k], came[k] = z + e[k], r
             total = new
             back.append(came)
         out = [total.index(max(total))]
@@ -327,25 +342,28 @@ def grouped(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("home", F.floor(F.col("ordinal") / SPAN)).withColumn("part", F.explode(near_groups()))
 
 
-def in_order(f: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-    """A group's rows in reading order, each block once, with ``repeats``."""
-    f = f.sort_values(["ordinal", "block_id", "ingested_at"])
-    f = f.drop_duplicates("block_id").reset_index(drop=True)
-    known = set(keys["key"])
-    f["repeats"] = [isinstance(t, str) and k == "paragraph" and "\n" not in t and len(t) <= 90 and key_of(t) in known for t, k in zip(f["text"], f["block_type"], strict=True)]
+def in_order(t: pa.Table, known: set[str]) -> Group:
+    """A group's rows in reading order, each block once, with ``repeats``: whether its text is a single line of the ``known`` keys."""
+    f = {c: t[c].to_pylist() for c in t.column_names}
+    taken = t["ingested_at"].cast(pa.int64()).to_pylist() if pa.types.is_timestamp(t["ingested_at"].type) else [None] * t.num_rows
+    ids, ordinals = f["block_id"], f["ordinal"]
+    first: dict[str, int] = {}
+    for i in sorted(range(t.num_rows), key=lambda i: (ordinals[i], ids[i], taken[i] is None, taken[i] or 0)):
+        first.setdefault(ids[i], i)
+    f = {c: [v[i] for i in first.values()] for c, v in f.items()}
+    f["repeats"] = [kind == "paragraph" and text is not None and len(text) <= 90 and "\n" not in text and key_of(text) in known for text, kind in zip(f["text"], f["block_type"], strict=True)]
     return f
 
 
-def mapped(blocks: DataFrame, groups: DataFrame, keys: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``run`` over each group of pages and its repeated keys."""
-    names = [c.split()[0] for c in re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", schema)).split(", ")]
+def mapped(groups: DataFrame, keys: DataFrame, run: Callable[[Group], pa.Table], schema: str, empty: pa.Schema) -> DataFrame:
+    """``run`` over each group, its rows in order and marked by its repeated keys."""
 
-    def each(f: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
-        return run(f, k) if len(f) else pd.DataFrame({c: [] for c in names})
+    def each(f: pa.Table, k: pa.Table) -> pa.Table:
+        return run(in_order(f, set(k["key"].to_pylist()))) if f.num_rows else empty.empty_table()
 
     a = groups.select(*[F.col(c).alias(c) for c in groups.columns])  # new columns, as both sides come from one table
     b = keys.select(F.col("document_id").alias("book"), F.col("part").alias("stretch"), "key")
-    return a.groupBy("document_id", "part").cogroup(b.groupBy("book", "stretch")).applyInPandas(each, schema)
+    return a.groupBy("document_id", "part").cogroup(b.groupBy("book", "stretch")).applyInArrow(each, schema)
 
 
 def model_of(blocks: DataFrame, groups: DataFrame, repeated: DataFrame, most: int = TRAIN_GROUPS) -> Model:
@@ -354,12 +372,14 @@ def model_of(blocks: DataFrame, groups: DataFrame, repeated: DataFrame, most: in
     part = F.floor(F.col("ordinal") / SPAN).alias("part")
     keys = blocks.select("document_id", part).distinct().orderBy(F.xxhash64("document_id", "part"), "document_id", "part").limit(most).persist()
 
-    def run(f: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
-        rows = observed(in_order(f, k))[:20_000]
-        return pd.DataFrame({"s": [[x for r in rows for x in r.seen]], "w": [[r.weak for r in rows]]})
+    kind = pa.schema([("s", pa.list_(pa.int32())), ("w", pa.list_(pa.int32()))])
+
+    def run(f: Group) -> pa.Table:
+        rows = observed(f)[:20_000]
+        return pa.table({"s": [[x for r in rows for x in r.seen]], "w": [[r.weak for r in rows]]}, schema=kind)
 
     by = ["document_id", "part"]
-    got = mapped(blocks, groups.join(keys, by, "left_semi"), repeated.join(keys, by, "left_semi"), run, "s array<int>, w array<int>").collect()
+    got = mapped(groups.join(keys, by, "left_semi"), repeated.join(keys, by, "left_semi"), run, "s array<int>, w array<int>", kind).collect()
     keys.unpersist()
     m = len(SIZES) + 1
     return Model.trained([([tuple(r.s[i : i + m]) for i in range(0, len(r.s), m)], list(r.w)) for r in got])
@@ -374,20 +394,20 @@ class Found(NamedTuple):
     continues: bool  # it is such a next block
 
 
-def label_group(f: pd.DataFrame, model: Model) -> list[Found]:
+def label_group(f: Group, model: Model) -> list[Found]:
     """The lines of a group's own rows with their labels by the Viterbi path. A paragraph goes on if its last line is labelled
     body and the next block that isn't all headers is a paragraph on the next page."""
     rows = observed(f)
     path = model.path([r.seen for r in rows])
-    n = len(f)
+    n = len(f["text"])
     lines: list[list[str]] = [[] for _ in range(n)]
     labels: list[list[int]] = [[] for _ in range(n)]
     for r, state in zip(rows, path, strict=True):
         lines[r.row].append(r.text)
         labels[r.row].append(LABELS[state])
-    own, types = (f["home"] == f["part"]).tolist(), f["block_type"].tolist()
-    first, last = f["page_start"].tolist(), f["page_end"].tolist()
-    for i, t in enumerate(f["text"].tolist()):
+    own, types = [h == p for h, p in zip(f["home"], f["part"], strict=True)], f["block_type"]
+    first, last = f["page_start"], f["page_end"]
+    for i, t in enumerate(f["text"]):
         if types[i] == "figure_label" and isinstance(t, str):
             lines[i] = t.split("\n")
             labels[i] = [BODY] * (len(lines[i]) - 1) + [BREAK]
@@ -415,6 +435,14 @@ def label_group(f: pd.DataFrame, model: Model) -> list[Found]:
 _LINES = "block_id string, document_id string, block_type string, page_start bigint, page_end bigint, ordinal bigint, home bigint, lines array<string>, labels array<int>, goes_on boolean, next_line string, continues boolean"
 
 
+_LINE_SCHEMA = pa.schema(
+    [
+        ("block_id", pa.string()), ("document_id", pa.string()), ("block_type", pa.string()), ("page_start", pa.int64()), ("page_end", pa.int64()), ("ordinal", pa.int64()), ("home", pa.int64()),
+        ("lines", pa.list_(pa.string())), ("labels", pa.list_(pa.int32())), ("goes_on", pa.bool_()), ("next_line", pa.string()), ("continues", pa.bool_()),
+    ]
+)
+
+
 def labelled(blocks: DataFrame) -> DataFrame:
     """Each block with its lines, their labels (0 header, 1 body, 2 break), whether its paragraph goes on in the next
     block on the next page, that block's first body line, and whether it continues the block before."""
@@ -423,19 +451,21 @@ def labelled(blocks: DataFrame) -> DataFrame:
     groups, keys = grouped(blocks), repeated_keys(blocks).persist(StorageLevel.MEMORY_AND_DISK)
     sent = spark.sparkContext.broadcast(model_of(blocks, groups, keys))
 
-    def run(f: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
-        f = in_order(f, k)
-        names = ("block_id", "document_id", "block_type", "page_start", "page_end", "ordinal", "home")
-        facts = list(zip(*(f[c].tolist() for c in names), strict=True))
-        out = [(*facts[x.row], *x[1:]) for x in label_group(f, sent.value)]
-        return pd.DataFrame(out, columns=[*names, "lines", "labels", "goes_on", "next_line", "continues"])
+    def run(f: Group) -> pa.Table:
+        found = label_group(f, sent.value)
+        columns = [[f[c][x.row] for x in found] for c in _LINE_SCHEMA.names[:7]] + [[x[i] for x in found] for i in range(1, 6)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _LINE_SCHEMA.types, strict=True)], schema=_LINE_SCHEMA)
 
-    return mapped(blocks, groups, keys, run, _LINES)
+    return mapped(groups, keys, run, _LINES, _LINE_SCHEMA)
 
 
 _FACTS = "block_id string, furniture boolean, inline boolean, goes_on boolean, words array<string>, breaks array<struct<joined:string,hyphened:string,sure:boolean>>"
 
 
+_BREAK = pa.struct([("joined", pa.string()), ("hyphened", pa.string()), ("sure", pa.bool_())])
+_FACT_SCHEMA = pa.schema([("block_id", pa.string()), ("furniture", pa.bool_()), ("inline", pa.bool_()), ("goes_on", pa.bool_()), ("words", pa.list_(pa.string())), ("breaks", pa.list_(_BREAK))])
+
+
 def examined(blocks: DataFrame, wanted: np.ndarray) -> DataFrame:
     """What ``findings`` needs of each block, without its text: the layout, those of its words that ``wanted``, a filter, lets through, and
     its broken words."""
@@ -444,11 +474,11 @@ def examined(blocks: DataFrame, wanted: np.ndarray) -> DataFrame:
     groups, keys = grouped(blocks), repeated_keys(blocks).persist(StorageLevel.MEMORY_AND_DISK)
     sent = spark.sparkContext.broadcast((model_of(blocks, groups, keys), wanted))
 
-    def run(f: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
+    def run(f: Group) -> pa.Table:
         model, bits = sent.value
-        f = in_order(f, k)
-        ids, types = f["block_id"].tolist(), f["block_type"].tolist()
-        out, words = [], []
+        ids, types = f["block_id"], f["block_type"]
+        out: list[tuple] = []
+        words: list[set[str]] = []
         for i, lines, labels, on, nxt, _ in label_group(f, model):
             header = labels.count(HEADER)
             whole = bool(labels) and header == len(labels)
@@ -457,15 +487,15 @@ def examined(blocks: DataFrame, wanted: np.ndarray) -> DataFrame:
             if not whole:
                 text, breaks = break_parts(lines, labels, on, nxt)
                 if types[i] in RUNNING:
-                    own = {*_WORD.findall(text), *("3:" + g for g in han_triples(text))}
+                    own = words_and_triples(text)
             words.append(own)
-            out.append([ids[i], whole, header > 0 and not whole, on, [{"joined": j, "hyphened": h, "sure": by_letters(j, h, m)} for j, h, m in breaks]])
-        some = passed(set().union(*words), bits) if words else set()
-        for row, own in zip(out, words, strict=True):
-            row.insert(4, sorted(own & some))
-        return pd.DataFrame(out, columns=["block_id", "furniture", "inline", "goes_on", "words", "breaks"])
+            out.append((ids[i], whole, header > 0 and not whole, on, [{"joined": j, "hyphened": h, "sure": by_letters(j, h, m)} for j, h, m in breaks]))
+        some = passed(set().union(*words), bits)
+        columns = [*zip(*out, strict=True)] if out else [()] * 5
+        columns.insert(4, [sorted(own & some) for own in words])
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _FACT_SCHEMA.types, strict=True)], schema=_FACT_SCHEMA)
 
-    return mapped(blocks, groups, keys, run, _FACTS)
+    return mapped(groups, keys, run, _FACTS, _FACT_SCHEMA)
 
 
 # ---------------------------------------------------------------- a filter of fixed size
@@ -521,11 +551,15 @@ def counted(text: str, words: Counter, triples: Counter, pairs: Counter) -> None
             triples.update(map("".join, zip(t, t[1:], t[2:], strict=False)))
 
 
-def han_triples(text: str) -> Iterator[str]:
-    for r in _RUN.findall(text.replace("\n", "")):
-        if len(r) > 1:
-            t = f"^{r}$"
-            yield from map("".join, zip(t, t[1:], t[2:], strict=False))
+def words_and_triples(text: str) -> set[str]:
+    """The words of a text and the triples of its Han runs, marked by ``3:``."""
+    out = set(_WORD.findall(text))
+    if not text.isascii():
+        for r in _RUN.findall(text.replace("\n", "")):
+            if len(r) > 1:
+                t = f"^{r}$"
+                out.update([f"3:{t[i : i + 3]}" for i in range(len(r))])
+    return out
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
@@ -654,7 +688,7 @@ def repairs(body: DataFrame, counts: DataFrame) -> DataFrame:
             ids, words, breaks = [], [], []
             for r in b.to_pylist():
                 text, found = break_parts(r["lines"] or [], r["labels"] or [], r["goes_on"], r["next_line"] or "")
-                own = {*_WORD.findall(text), *("3:" + g for g in han_triples(text))} if r["block_type"] in RUNNING else set()
+                own = words_and_triples(text) if r["block_type"] in RUNNING else set()
                 ids.append(r["block_id"])
                 words.append(sorted(passed(own, sent.value)) if own else [])
                 breaks.append([{"joined": j, "hyphened": h, "sure": by_letters(j, h, m)} for j, h, m in found])
@@ -666,9 +700,6 @@ def repairs(body: DataFrame, counts: DataFrame) -> DataFrame:
     return misread.unionByName(joined).groupBy("block_id").agg(F.collect_set(F.struct("kind", "word", "right")).alias("fixes"))
 
 
-_BREAK = pa.struct([("joined", pa.string()), ("hyphened", pa.string()), ("sure", pa.bool_())])
-
-
 def paragraphs(blocks: DataFrame) -> DataFrame:
     """(document_id, block_ids, page_start, page_end, text): the paragraphs of scanned books, debris removed, broken words
     joined, misread words put right, and parts on consecutive pages put together. Pages are null where no part has one.
@@ -683,8 +714,7 @@ def paragraphs(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [cleaned(r["lines"], r["labels"], r["block_type"], r["fixes"] or [], r["next_line"] if r["goes_on"] else None) for r in b.to_pylist()]
-            keep = ["block_id", "text_of"]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([g for _, g in out], pa.bool_())], names=[keep[0], "text", "glued"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([g for _, g in out], pa.bool_())], names=["block_id", "text", "glued"])
 
     clean = body.select("block_id", "block_type", "lines", "labels", "goes_on", "next_line").join(fixes, "block_id", "left").mapInArrow(run, "block_id string, text string, glued boolean")
     place = body.where(F.col("block_type") != "figure_label").select("block_id", "document_id", "home", "ordinal", "page_start", "page_end", "continues")

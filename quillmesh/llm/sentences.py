@@ -2,9 +2,9 @@
 
 Method: the boundary rules (``step``) are compiled into a finite transducer by exploring all states reachable from the
 start. It reads classes of characters and writes marks (a sentence may end here), commits (the last mark is an
-end) and blanks (an empty line ends what came before). A long text is read in chunks: each chunk is first turned into
-its state-transition function, the functions are composed by a prefix scan, and every chunk is then read again
-from its true entry state, so that the result is that of one pass. Texts within a chunk take one pass.
+end) and blanks (an empty line ends what came before). A long text is read in chunks of bytes: each chunk is first turned into
+its state-transition function, the functions are composed by a parallel prefix scan (``scanned_entries``), and every chunk is then
+read again from its true entry state, so that the result is that of one pass.
 
 Rules: ``.`` ends a sentence before white space and the start of another one, but not after abbreviations, in ordinals,
 decimals and addresses; ``etc.`` and the like end one only before a capital. Closing quotes and brackets belong to
@@ -25,6 +25,7 @@ from functools import cache
 from typing import Any, NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -411,67 +412,119 @@ def short_ends(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_per_text(sentence_ends, "ends", pa.list_(pa.int64())), "key string, ends array<bigint>")
 
 
+_PART = pa.schema([("key", pa.string()), ("i", pa.int32()), ("part", pa.binary()), ("f", pa.binary()), ("chars", pa.int64())])
+_READ = pa.schema([("key", pa.string()), ("i", pa.int32()), ("ends", pa.list_(pa.int64())), ("commits", pa.bool_()), ("blanks", pa.bool_()), ("mark", pa.int64()), ("seen", pa.int64())])
+
+
+def chunks_of(texts: DataFrame, chunk: int) -> DataFrame:
+    """(key, i, part) of texts (key, text): byte ranges, cut in time proportional to the text. A part begins with its first whole
+    character and ends with the one that reaches over its end."""
+    data = texts.select("key", F.encode("text", "utf-8").alias("data"))
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("data") / chunk)).cast("int")
+    return data.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1))).select("key", "i", F.substring("data", F.col("i") * chunk + 1, F.lit(chunk + 3)).alias("part"))
+
+
+def part_text(part: bytes, i: int, chunk: int) -> str:
+    a, b = 0, min(chunk, len(part))
+    while i and a < len(part) and part[a] & 0xC0 == 0x80:
+        a += 1
+    while b < len(part) and part[b] & 0xC0 == 0x80:
+        b += 1
+    return part[a:b].decode("utf-8", "replace")
+
+
+def scanned_entries(functions: DataFrame, block: int = 256) -> DataFrame:
+    """(key, i, entry, base): the state in which each chunk is entered and the characters before it, by a parallel prefix scan of
+    chunks' functions (key, i, f, chars) in two sweeps. Up: the functions of each block of ``block`` chunks are composed into one. Then the
+    blocks of a text are entered one after the other: at most 128 of 16 M characters, as a text holds 2 GB. Down: each block enters its chunks."""
+    rows = functions.withColumn("block", F.floor(F.col("i") / block).cast("int"))
+
+    def composed(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("i")
+        whole = np.frombuffer(f["f"].iloc[0], np.int16)
+        for nxt in f["f"].iloc[1:]:
+            whole = np.frombuffer(nxt, np.int16)[whole]
+        return pd.DataFrame({"key": [f["key"].iloc[0]], "block": [f["block"].iloc[0]], "f": [whole.tobytes()], "chars": [f["chars"].sum()]})
+
+    def entered(f: pd.DataFrame, at: str, state: int, base: int) -> pd.DataFrame:
+        f = f.sort_values(at)
+        entry, before = [], []
+        for fn, chars in zip(f["f"], f["chars"], strict=True):
+            entry.append(state)
+            before.append(base)
+            state, base = int(np.frombuffer(fn, np.int16)[state]), base + chars
+        return pd.DataFrame({"key": f["key"], at: f[at], "entry": entry, "base": before})
+
+    up = rows.groupBy("key", "block").applyInPandas(composed, "key string, block int, f binary, chars bigint")
+    top = up.groupBy("key").applyInPandas(lambda f: entered(f, "block", 0, 0), "key string, block int, entry int, base bigint")
+    down = rows.join(top, ["key", "block"]).groupBy("key", "block")
+    return down.applyInPandas(lambda f: entered(f, "i", int(f["entry"].iloc[0]), int(f["base"].iloc[0])), "key string, i int, entry int, base bigint")
+
+
+def read_chunk(text: str, entry: int, base: int) -> tuple[list[int], bool, bool, int | None, int | None]:
+    """What a chunk says when it is read from its true state: the ends inside; whether a commit takes a mark, and an empty line a last character,
+    from before the chunk; the open mark at its end (-1: none, None: that from before stays); its last character that isn't white space."""
+    ends: list[int] = []
+    commits = blanks = False
+    mark: int | None = None
+    for p, what in events(classes(text), entry)[0]:
+        if what & COMMIT:
+            if mark is None:
+                commits = True
+            elif mark >= 0:
+                ends.append(mark)
+            mark = -1
+        if what & BLANK:
+            q = _rstrip(text, p)
+            if q:
+                ends.append(base + q)
+            else:
+                blanks = True
+            mark = -1
+        later = what >> 4 if what >= 16 else what
+        if later & MARK:
+            mark = base + p + 1
+        elif later & BEFORE:
+            mark = base + p
+    q = _rstrip(text, len(text))
+    return ends, commits, blanks, mark, base + q if q else None
+
+
 def long_ends(texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(key, ends) of long texts by chunks: functions, prefix scan, second reading, and the pairing of commits with
-    the marks before them, over chunk borders too."""
-    n = F.ceil(F.char_length("text") / chunk).cast("int")
-    parts = texts.withColumn("i", F.explode(F.sequence(F.lit(0), n - 1))).select("key", "i", F.substring("text", F.col("i") * chunk + 1, F.lit(chunk)).alias("part"))
-    parts = spread(parts).persist(StorageLevel.MEMORY_AND_DISK)
-    functions = parts.mapInArrow(_per_text(lambda t: function(classes(t)), "f", pa.list_(pa.int32())), "key string, i int, f array<int>")
-
-    def scan(batches):  # noqa: ANN001, ANN202
-        state: dict[str, int] = {}
-        for f in batches:
-            entry = []
-            for k, fn in zip(f["key"], f["f"], strict=True):
-                entry.append(state.get(k, 0))
-                state = {k: int(fn[entry[-1]])}  # rows come in order of key and chunk
-            f["entry"] = entry
-            yield f[["key", "i", "entry"]]
-
-    # all functions of one text in one task: 1.5 KB for each 64 K characters
-    entries = functions.repartition("key").sortWithinPartitions("key", "i").mapInPandas(scan, "key string, i int, entry int")
+    """(key, ends) of long texts by chunks of ``chunk`` bytes: functions, prefix scan, second reading. What a chunk takes from those before it
+    is found among one row for each chunk."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts_ = [part_text(d, i, chunk) for i, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            fs = [np.array(function(classes(t)), np.int16).tobytes() for t in texts_]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fs, pa.binary()), pa.array([len(t) for t in texts_], pa.int64())], schema=_PART)
+
+    parts = spread(chunks_of(texts, chunk)).mapInArrow(first, "key string, i int, part binary, f binary, chars bigint").persist(StorageLevel.MEMORY_AND_DISK)
+    entries = scanned_entries(parts.select("key", "i", "f", "chars"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                t = r["part"]
-                found, _ = events(classes(t), r["entry"])
-                base, mark, place = r["i"] * chunk, -1, 0
-                for p, what in found:
-                    if what & COMMIT:
-                        rows.append((r["key"], 2 * (base + p), place, "c", base + mark if mark >= 0 < base + mark else None))
-                        mark, place = -1, place + 1
-                    if what & BLANK:
-                        q = _rstrip(t, p)
-                        rows.append((r["key"], 2 * (base + p), place, "b", base + q if q else None))
-                        mark, place = -1, place + 1
-                    later = what >> 4 if what >= 16 else what
-                    mark = p + 1 if later & MARK else p if later & BEFORE else mark
-                q = _rstrip(t, len(t))
-                after = 2 * (base + len(t)) - 1  # after all of this chunk, before all of the next
-                rows.append((r["key"], after, place, "m", base + mark if mark >= 0 < base + mark else None))  # an open mark; without one that of a chunk before stays
-                rows.append((r["key"], after, place + 1, "s", base + q if q else None))  # the last character
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int64())], names=["key", "at", "place", "what", "p"])
-
-    said = parts.join(entries, ["key", "i"]).select("key", "i", "part", "entry").mapInArrow(read, "key string, at bigint, place int, what string, p bigint")
-    before = Window.partitionBy("key").orderBy("at", "place").rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.last(F.when(F.col("what") == "m", F.col("p")).when(F.col("what") != "s", F.lit(-1)), True).over(before)
-    seen = F.last(F.when(F.col("what") == "s", F.col("p")), True).over(before)
-    said = said.select("key", "what", "at", "p", mark.alias("__m"), seen.alias("__s"))
-    last = F.when(F.col("what") == "c", F.coalesce("p", F.when(F.col("__m") > 0, F.col("__m")))).when(F.col("what") == "b", F.coalesce("p", "__s"))
-    ends = said.where("what in ('c', 'b')").select("key", last.alias("e")).unionByName(said.where("what = 's'").groupBy("key").agg(F.max("p").alias("e")))
-    return ends.where("e is not null").groupBy("key").agg(F.sort_array(F.collect_set("e")).alias("ends"))
+            rows = [read_chunk(part_text(d, i, chunk), entry, base) for i, d, entry, base in zip(*(b.column(k).to_pylist() for k in range(1, 5)), strict=True)]
+            cols = [pa.array([r[k] for r in rows], _READ.field(k + 2).type) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], schema=_READ)
+
+    said = parts.select("key", "i", "part").join(entries, ["key", "i"]).select("key", "i", "part", "entry", "base")
+    said = said.mapInArrow(read, "key string, i int, ends array<bigint>, commits boolean, blanks boolean, mark bigint, seen bigint")
+    before = Window.partitionBy("key").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 64 KB
+    mark, seen = F.last("mark", ignorenulls=True).over(before), F.last("seen", ignorenulls=True).over(before)
+    taken = F.filter(F.array(F.when(F.col("commits") & (F.col("__m") > 0), F.col("__m")), F.when(F.col("blanks"), F.col("__s"))), lambda x: x.isNotNull())
+    said = said.select("key", "ends", "commits", "blanks", "seen", mark.alias("__m"), seen.alias("__s")).select("key", F.concat("ends", taken).alias("ends"), "seen")
+    whole = said.groupBy("key").agg(F.flatten(F.collect_list("ends")).alias("ends"), F.max("seen").alias("last"))
+    return whole.select("key", F.array_sort(F.array_distinct(F.array_compact(F.concat("ends", F.array("last"))))).alias("ends"))
 
 
 def sentence_table(texts: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(key, ends) of texts (key string, text). Texts stay where they are read; rows that repeat a key within a chunk's size
-    repeat in the result, too, for ``once_each``."""
+    """(key, ends) of texts (key string, text). Texts stay where they are read; a text within one chunk, the trivial case of the scan, is
+    read there. Rows that repeat a key then repeat in the result, too, for ``once_each``."""
     ship(texts.sparkSession)
     some = texts.where("key is not null and text is not null").select("key", "text")
-    size = F.char_length("text")
+    size = F.octet_length("text")
     long = some.where(size > chunk).dropDuplicates(["key"])
     return short_ends(spread(some.where(size <= chunk))).unionByName(long_ends(long, chunk))
 

@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,9 +175,9 @@ def test_scans(spark):
 
 
 def group(rows):
-    f = pd.DataFrame([(f"b{i}", "d", text, kind, "Kapitel", page, page, i) for i, (text, kind, page) in enumerate(rows)], columns=["block_id", "document_id", "text", "block_type", "head", "page_start", "page_end", "ordinal"])
-    f["ingested_at"], f["home"], f["part"] = None, 0, 0
-    return scans.in_order(f, pd.DataFrame({"key": ["lesebuch kleine netze"]}))
+    names = ("block_id", "document_id", "text", "block_type", "head", "page_start", "page_end", "ordinal", "ingested_at", "home", "part")
+    whole = [(f"b{i}", "d", text, kind, "Kapitel", page, page, i, None, 0, 0) for i, (text, kind, page) in enumerate(rows)]
+    return scans.in_order(pa.table(dict(zip(names, map(list, zip(*whole, strict=True)), strict=True))), {"lesebuch kleine netze"})
 
 
 def pages(last="der Rechner sendet jeden Rahmen"):
