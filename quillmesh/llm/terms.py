@@ -15,8 +15,8 @@ scores are of its entries wherever they stand: an entry that begins or ends with
 inside a longer word or number there, any other entry counts wherever it occurs, overlapping occurrences included.
 
 A vocabulary of any size stays distributed. Its terms are put into a Bloom filter of fixed size by a rolling hash, and every substring of a text
-that has the length of some term is held against the filter, all at once for each length; the few that pass are compared
-with the vocabulary itself by joins. Statistics cover all records, repeated ids once. Null and empty
+that has the length of some term and may begin one is held against the filter, those of many texts at once for each length; the few that
+pass are compared with the vocabulary itself by joins. Statistics cover all records, repeated ids once. Null and empty
 texts are records without terms: they count in N and have length 0. Ties are broken by term.
 """
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,11 +101,11 @@ def all_terms(folded: str, grams: tuple[int, ...] | None = None) -> Counter:
 _BASE = 0x9E3779B97F4A7C15
 
 
-def _spread_bits(h: np.ndarray) -> list[np.ndarray]:
-    """The places of hashes in the filter."""
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return [(low + high * np.uint64(i)) % np.uint64(FILTER_BITS) for i in range(FILTER_HASHES)]
+def _spread_bits(h: np.ndarray) -> Iterator[Callable[[np.ndarray | slice], np.ndarray]]:
+    """The places of hashes in the filter, worked out for those asked for only."""
+    for i in range(FILTER_HASHES):
+        odd = np.uint64((0xBF58476D1CE4E5B9 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF)
+        yield lambda at, odd=odd: ((h[at] ^ (h[at] >> np.uint64(29))) * odd) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)
 
 
 class Roller:
@@ -123,36 +123,71 @@ class Roller:
             self.powers = np.multiply.accumulate(grown)
         return np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(codes * self.powers[: len(codes)])])
 
-    def of_length(self, prefix: np.ndarray, n: int) -> np.ndarray:
-        m = len(prefix) - n
-        while len(self.back) < m:  # base ** -i: the base is odd and has an inverse
-            steps = np.full(2 * m, pow(_BASE, -1, 1 << 64), np.uint64)
+    def inverse(self, n: int) -> np.ndarray:
+        """base ** -i for i below n; the base is odd and has an inverse."""
+        if len(self.back) < n:
+            steps = np.full(2 * n, pow(_BASE, -1, 1 << 64), np.uint64)
             steps[0] = 1
             self.back = np.multiply.accumulate(steps)
-        return (prefix[n:] - prefix[:m]) * self.back[:m]
+        return self.back[:n]
+
+    def between(self, prefix: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """The hashes of the n characters from each place."""
+        return (prefix[at + n] - prefix[at]) * self.inverse(len(prefix))[at]
+
+    def everywhere(self, prefix: np.ndarray, n: int) -> np.ndarray:
+        """The hashes of the n characters from every place that has as many."""
+        return (prefix[n:] - prefix[:-n]) * self.inverse(len(prefix) - n)
 
 
 def hash_of(term: str, roller: Roller) -> int:
     return int(roller.prefix(term)[-1])
 
 
-def filtered(folded: str, lengths: list[int], bits: np.ndarray, roller: Roller) -> Counter:
-    """The substrings that may be terms of the vocabulary, by the filter, with their counts."""
-    out: Counter = Counter()
-    prefix = roller.prefix(folded)
-    for n in lengths:
-        if n >= len(prefix):
+#: Terms of at least so many characters are looked for only where the filter knows their first ones.
+FIRST = 4
+_FIRST_SALT = 0x5851F42D4C957F2D
+
+
+def _passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The indexes of the hashes that the filter lets through; each of its hashes thins out what the next one looks at."""
+    keep: np.ndarray | None = None
+    for place_of in _spread_bits(h):
+        here = place_of(slice(None) if keep is None else keep)
+        ok = np.flatnonzero((bits[here >> np.uint64(5)] >> (here & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+        keep = ok if keep is None else keep[ok]
+        if not len(keep):
             break
-        h = roller.of_length(prefix, n)
-        at = np.arange(len(h))
-        for place in _spread_bits(h):  # each hash thins out the places that the next one looks at
-            here = place[at]
-            at = at[(bits[(here >> np.uint64(5)).astype(np.int64)] >> (here & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1]
-            if not len(at):
-                break
-        for i in at.tolist():
-            if stands_alone(folded, i, i + n):
-                out[folded[i : i + n]] += 1
+    return keep
+
+
+def filtered(texts: list[str], lengths: list[int], bits: np.ndarray, roller: Roller) -> list[Counter]:
+    """Of each folded text the substrings that may be terms of the vocabulary, by the filter, with their counts."""
+    out: list[Counter] = [Counter() for _ in texts]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    prefix = roller.prefix("".join(texts))
+    begins = np.cumsum(sizes) - sizes
+    ends = np.repeat(begins + sizes, sizes)
+    likely: np.ndarray | None = None
+
+    def whole_pass(n: int, salt: int = 0) -> np.ndarray:
+        if len(ends) < n:
+            return np.zeros(0, np.int64)
+        at = _passing(roller.everywhere(prefix, n) ^ np.uint64(salt), bits)
+        return at[at + n <= ends[at]]
+
+    for n in lengths:
+        if n < FIRST:
+            at = whole_pass(n)
+        else:
+            if likely is None:
+                likely = whole_pass(FIRST, _FIRST_SALT)
+            at = likely[likely + n <= ends[likely]]
+            at = at[_passing(roller.between(prefix, at, n), bits)]
+        for i, k in zip(at.tolist(), (np.searchsorted(begins, at, "right") - 1).tolist(), strict=True):
+            text, j = texts[k], i - int(begins[k])
+            if stands_alone(text, j, j + n):
+                out[k][text[j : j + n]] += 1
     return out
 
 
@@ -164,7 +199,8 @@ def vocabulary_filter(vocabulary: DataFrame) -> tuple[np.ndarray, list[int]]:
         for b in batches:
             words = b.column(0).to_pylist()
             h = np.fromiter((hash_of(w, roller) for w in words), np.uint64, len(words))
-            places = np.concatenate(_spread_bits(h)).astype(np.int64) if words else np.zeros(0, np.int64)
+            first = np.fromiter((hash_of(w[:FIRST], roller) for w in words if len(w) >= FIRST), np.uint64) ^ np.uint64(_FIRST_SALT)
+            places = np.concatenate([place_of(slice(None)) for x in (h, first) for place_of in _spread_bits(x)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(places >> 5), pa.array(np.int64(1) << (places & 31))], names=["at", "bit"])
 
     cells = vocabulary.select("term").mapInArrow(run, "at bigint, bit bigint").groupBy("at").agg(F.expr("bit_or(bit)").alias("bit")).toPandas()
@@ -186,9 +222,8 @@ def term_counts(records: DataFrame, vocabulary: DataFrame | None = None) -> Data
         bits, lengths = sent.value or (None, None)
         for b in (part.slice(i, 128) for part in batches for i in range(0, part.num_rows, 128)):  # bounds the counts in memory
             sizes, at, found_terms, tfs = [], [0], [], []
-            for t in b.column(1).to_pylist():
-                text = fold(t or "")
-                counts = all_terms(text) if every else filtered(text, lengths, bits, roller)
+            texts = [fold(t or "") for t in b.column(1).to_pylist()]
+            for text, counts in zip(texts, map(all_terms, texts) if every else filtered(texts, lengths, bits, roller), strict=True):
                 sizes.append(units(text))
                 found_terms += counts.keys()
                 tfs += counts.values()

@@ -150,9 +150,12 @@ def test_filter_finds_every_substring_of_the_vocabulary():
     roller = terms.Roller()
     bits = np.zeros(terms.FILTER_BITS // 32, np.uint32)
     for w in words:
-        for place in terms._spread_bits(np.array([terms.hash_of(w, roller)], np.uint64)):
-            bits[int(place[0]) >> 5] |= np.uint32(1 << (int(place[0]) & 31))
-    got = terms.filtered(text, sorted({len(w) for w in words}), bits, roller)
+        for h in [terms.hash_of(w, roller), *([terms.hash_of(w[: terms.FIRST], roller) ^ terms._FIRST_SALT] if len(w) >= terms.FIRST else [])]:
+            for place in terms._spread_bits(np.array([h], np.uint64)):
+                at = int(place(slice(None))[0])
+                bits[at >> 5] |= np.uint32(1 << (at & 31))
+    other, got, last = terms.filtered([text[:200], text, ""], sorted({len(w) for w in words}), bits, roller)
+    assert not last and all(other[w] <= got[w] for w in words)
     for w in words:
         want = sum(text.startswith(w, i) and terms.stands_alone(text, i, i + len(w)) for i in range(len(text)))
         assert got[w] == want
