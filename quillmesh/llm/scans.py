@@ -39,6 +39,8 @@ from quillmesh.session import ship, spread
 SPAN = 512
 HALO = 24
 TRAIN_GROUPS = 48
+#: Most scanned books whose ids, some 10 MB, are broadcast; with more, blocks are joined with them by shuffle.
+MOST_BOOKS = 100_000
 RATIO = 12
 RUNNING = ("paragraph", "list_item")
 MARKS = "-‐‑¬\xad"
@@ -313,8 +315,9 @@ class Model:
 def scanned(blocks: DataFrame) -> DataFrame:
     """Blocks of scanned books; rows that repeat a block are sorted out in their group, without a shuffle of its own. Blocks without
     a page stand on pages of their own, below 0; those without a place in the reading order, before all others."""
-    books = blocks.where(F.col("source_path").startswith("scans/")).select("document_id").distinct()
-    rows = blocks.where(F.col("document_id").isNotNull() & F.col("block_id").isNotNull()).join(books, "document_id", "left_semi")
+    books = blocks.where(F.col("source_path").startswith("scans/")).select("document_id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    few = len(books.limit(MOST_BOOKS + 1).select(F.lit(1)).collect()) <= MOST_BOOKS
+    rows = blocks.where(F.col("document_id").isNotNull() & F.col("block_id").isNotNull()).join(F.broadcast(books) if few else books, "document_id", "left_semi")
     rows = rows.withColumn("ordinal", F.coalesce("ordinal", -1 - F.pmod(F.xxhash64("block_id"), F.lit(1 << 30))))
     page = F.coalesce("page_start", -1 - F.pmod("ordinal", F.lit(1 << 40)))
     return rows.select("block_id", "document_id", "text", "block_type", F.try_element_at("heading_path", F.lit(1)).alias("head"), page.alias("page_start"), F.coalesce("page_end", page).alias("page_end"), "ordinal", "ingested_at")
