@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -35,17 +36,22 @@ def sentence_stops(text: str) -> list[int]:
 
 
 def split_to_budget(text: str, budget: int) -> list[str]:
-    """Pieces of at most ``budget`` characters, cut after the last sentence that fits, else hard."""
+    """Pieces of at most ``budget`` characters, cut after the last sentence that fits, else hard (S9). The sentence ends are found once,
+    since what follows a cut doesn't change them."""
     if budget < 1:
         raise ValueError("the heading leaves no room for content")
-    rest, out = text.strip(), []
-    while len(rest) > budget:
-        fitting = [p for p in sentence_stops(rest) if p <= budget]
-        cut = fitting[-1] if fitting else budget
-        if piece := rest[:cut].strip():
+    text = text.strip()
+    stops = sentence_stops(text)
+    at, out = 0, []
+    while len(text) - at > budget:
+        i = bisect.bisect_right(stops, at + budget) - 1
+        cut = stops[i] if i >= 0 and stops[i] > at else at + budget
+        if piece := text[at:cut].strip():
             out.append(piece)
-        rest = rest[cut:].lstrip()
-    return [*out, rest] if rest else out
+        at = cut
+        while at < len(text) and text[at].isspace():
+            at += 1
+    return [*out, text[at:]] if at < len(text) else out
 
 
 def sentence_suffix(text: str, kind: str, room: int) -> str:

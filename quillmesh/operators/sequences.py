@@ -58,7 +58,8 @@ def content_units(grouped: DataFrame) -> DataFrame:
     rows = grouped.withColumn("__c", continues(w)).withColumn("unit_no", F.sum((~F.col("__c")).cast("int")).over(w))
     parts = F.sort_array(F.collect_list(F.struct("ordinal", "block_id", "text")))
     units = rows.groupBy("document_id", "group_no", "unit_no").agg(parts.alias("p"), F.first("heading_path").alias("heading_path"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.min_by("block_type", "ordinal").alias("block_type"))
-    text = F.aggregate(F.slice("p", 2, 1_000_000), F.col("p")[0]["text"], lambda a, x: joined_continuation(a, x["text"]))
+    nothing = F.lit(None).cast("string")
+    text = F.aggregate("p", nothing, lambda a, x: F.when(a.isNull(), x["text"]).otherwise(joined_continuation(a, x["text"])))
     return units.select("document_id", "group_no", "unit_no", "heading_path", "block_type", "page_start", "page_end", text.alias("text"), F.transform("p", lambda x: x["block_id"]).alias("block_ids"), (F.size("p") - 1).alias("joins"))
 
 
@@ -67,7 +68,7 @@ def orphan_punctuation(rows: DataFrame) -> DataFrame:
     merged and relabelled (0 or 1). The first row of a document is exempt."""
     w = order()
     body = F.col("block_type").isin("paragraph", "list_item")
-    orphan = F.lag(F.lit(1)).over(w).isNotNull() & body & F.col("text").isin(*ORPHANS)
+    orphan = F.coalesce(F.lag(F.lit(1)).over(w).isNotNull() & body & F.col("text").isin(*ORPHANS), F.lit(False))
     rows = rows.withColumn("__o", orphan)
     no_image = F.col("image_path").isNull()
     ends = F.substring(F.col("text"), -1, 1).isin(*ORPHANS)

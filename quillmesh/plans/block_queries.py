@@ -89,6 +89,22 @@ def crosspage_join(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy("document_id").agg(F.count("*").alias("units"), F.sum("joins").cast("bigint").alias("joins"))
 
 
+UNITS_SQL = f"""{GROUPS_SQL}, x AS (SELECT *, coalesce(lag(block_type) OVER w = 'paragraph' AND block_type = 'paragraph' AND lag(heading_path) OVER w IS NOT DISTINCT FROM heading_path AND ordinal = lag(ordinal) OVER w + 1
+      AND page_start = lag(page_end) OVER w + 1 AND NOT coalesce({terminal_sql('lag(text) OVER w')}, false), false) AS cont FROM g WHERE text IS NOT NULL WINDOW w AS (PARTITION BY document_id, group_no ORDER BY ordinal, block_id)),
+    y AS (SELECT *, sum((NOT cont)::INT) OVER (PARTITION BY document_id, group_no ORDER BY ordinal, block_id) AS unit_no, lead(cont) OVER (PARTITION BY document_id, group_no ORDER BY ordinal, block_id) AS more,
+      regexp_matches(lag(regexp_replace(text, '{_SPACES}+$', '')) OVER (PARTITION BY document_id, group_no ORDER BY ordinal, block_id), '[A-Za-z0-9]$') AND regexp_matches(regexp_replace(text, '^{_SPACES}+', ''), '^[A-Za-z0-9]') AS spaced FROM x),
+    z AS (SELECT *, CASE WHEN cont AND spaced THEN ' ' ELSE '' END || CASE WHEN cont AND more THEN {trim_sql('text')} WHEN cont THEN regexp_replace(text, '^{_SPACES}+', '') WHEN more THEN regexp_replace(text, '{_SPACES}+$', '') ELSE text END AS part FROM y),
+    u AS (SELECT document_id, group_no, unit_no, string_agg(block_id, ',' ORDER BY ordinal, block_id) AS block_ids, string_agg(part, '' ORDER BY ordinal, block_id) AS text, min(page_start) AS page_start, max(page_end) AS page_end FROM z GROUP BY ALL)"""
+
+
+@query(f"WITH {UNITS_SQL} SELECT document_id, block_ids, text, page_start, page_end FROM u")
+def unit_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What is packed into chunks: body blocks, paragraphs that go on over a page as one text."""
+    body = blocks_of(spark, d).where(F.col("text").isNotNull() | F.col("block_type").isin(*sequences.CONTROL))
+    u = sequences.content_units(sequences.body_groups(body))
+    return u.select("document_id", F.array_join("block_ids", ",").alias("block_ids"), "text", "page_start", "page_end")
+
+
 _ORPHANS = "('" + "','".join(text.ORPHANS) + "')"
 
 
@@ -145,11 +161,6 @@ def bbox_intersect(spark: SparkSession, d: str) -> DataFrame:
     return sequences.boxes_meet(_boxes(table(spark, d, "part", "p_partkey"), "p_partkey", 37, 101, 25), _boxes(table(spark, d, "supplier", "s_suppkey"), "s_suppkey", 59, 83, 40))
 
 
-@query("SELECT coalesce(o.k, l.k) AS k, CASE WHEN o.k IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity >= 49) o FULL JOIN (SELECT DISTINCT p_partkey AS k FROM part) l ON o.k = l.k WHERE o.k IS NULL OR l.k IS NULL")
-def key_set_equality(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.unequal_keys(table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("k")), table(spark, d, "part").select(F.col("p_partkey").alias("k")), "k")
-
-
 @query("SELECT block_id, count(*) AS n FROM normalized_blocks GROUP BY ALL HAVING count(*) > 1")
 def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
     return sequences.duplicates(table(spark, d, "normalized_blocks", "block_id"), "block_id")
@@ -242,9 +253,7 @@ def chunking_report(spark: SparkSession, d: str) -> DataFrame:
     return chunking.report(chunking.drafts(b), b)
 
 
-@query(
-    "SELECT 'long' AS kind, count(*) AS n FROM (SELECT document_id, ordinal FROM normalized_blocks WHERE false) UNION ALL SELECT 'lost', 0"
-)
+@query()
 def chunk_pack_bounds(spark: SparkSession, d: str) -> DataFrame:
     """Chunks over the limit that hold more than one unit or no atomic one, and body blocks in no chunk: none of either."""
     b = blocks_of(spark, d)

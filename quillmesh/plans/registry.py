@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from quillmesh.plans import block_queries, retrieval_queries  # noqa: E402, F401
+from quillmesh.plans import block_queries, retrieval_queries, violation_queries  # noqa: E402, F401

@@ -150,16 +150,6 @@ def norm_range(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("space").agg(F.count("*").alias("vectors"), F.round(F.min("n"), 6).alias("norm_min"), F.round(F.max("n"), 6).alias("norm_max"))
 
 
-@query(
-    f"""WITH {VECTORS_SQL}, old AS (SELECT vec_id, 'old' AS origin FROM v WHERE vec_id % 3 > 0), new AS (SELECT vec_id, 'new' AS origin FROM v WHERE vec_id % 3 < 2)
-    SELECT vec_id, origin FROM old WHERE vec_id NOT IN (SELECT vec_id FROM new) UNION ALL SELECT vec_id, origin FROM new"""
-)
-def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
-    v = vectors_of(spark, d).select("vec_id")
-    old, new = v.where("vec_id % 3 > 0").withColumn("origin", F.lit("old")), v.where("vec_id % 3 < 2").withColumn("origin", F.lit("new"))
-    return dense.upsert(old, new, "vec_id")
-
-
 HYBRID_SQL = f"""{BM25_SQL}, {VECTORS_SQL}, w AS (SELECT chunk.chunk_id AS chunk_id, space, arg_min(x, vec_id) AS x FROM v WHERE space LIKE '%|64' GROUP BY ALL),
 qv AS (SELECT case_id AS query_id, space, x FROM q JOIN w ON w.chunk_id = q.relevant_chunk_ids[1]),
 de AS (SELECT query_id, w.chunk_id, list_cosine_similarity(qv.x, w.x) AS score FROM qv JOIN w USING (space)),
@@ -239,8 +229,3 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CHUNKS_SQL} SELECT chunk_id, unnest(list_transform(generate_series(1, len(heading_path)), lambda i: to_json(heading_path[1:i])::VARCHAR)) AS prefix_key FROM c")
 def prefix_keys(spark: SparkSession, d: str) -> DataFrame:
     return chunks_of(spark, d).select("chunk_id", F.explode(ids.prefix_keys(F.col("heading_path"))).alias("prefix_key"))
-
-
-@query()
-def point_ids(spark: SparkSession, d: str) -> DataFrame:
-    return chunks_of(spark, d).select("chunk_id", ids.point_id(F.col("chunk_id")).alias("point_id"))
