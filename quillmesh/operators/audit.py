@@ -140,6 +140,71 @@ def marker_issues(lines: DataFrame, restorations: DataFrame) -> DataFrame:
     )
 
 
+#: What to do about each kind of issue.
+HINTS = {
+    "FORMULA_NOT_DECODED": "Restore the formula by a correction with its evidence.",
+    "FORMULA_RESTORED_BY_CORRECTION": "Compare the restored formula with the page image.",
+    "TEXT_EXPECTS_MISSING_FORMULA": "Read the text around the missing formula.",
+    "REPORT_COUNT_MISMATCH": "Write the report and its rows again in one run.",
+    "EMPTY_BLOCK": "Drop or restore the empty block in the normalization.",
+    "ORPHAN_PUNCTUATION_BLOCK": "Join the mark with the text before it.",
+    "INVALID_PAGE_RANGE": "Take the page range from the source again.",
+    "MISSING_IMAGE_TARGET": "Copy the image into the artifacts or remove its path.",
+    "VERY_SHORT_TEXT_BLOCK": "Look at the page: a label may have become text.",
+    "HEADING_LIKE_PARAGRAPH": "Reclassify the paragraph if it is a heading.",
+    "SUSPICIOUS_WORD_SPACING": "Remove the space inside the address or word.",
+    "POSSIBLE_FIGURE_LABEL_SEQUENCE": "Exclude the labels of the figure from the index.",
+    "POSSIBLE_READING_ORDER_BREAK": "Restore the order of the lines.",
+    "HIGH_SHORT_FRAGMENT_RATIO": "Look at the pages with many short texts.",
+    "EXCESSIVE_REVIEW_PAGE_RATIO": "Review the pages named in the report.",
+    "EMPTY_CHUNK": "Chunk the blocks again.",
+    "CHUNK_EXCEEDS_CONFIGURED_LIMIT": "Chunk again within the limit.",
+    "BROKEN_BLOCK_REFERENCE": "Chunk again from the present blocks.",
+}
+STAGES = ("conversion", "normalization", "chunking")
+
+
+@dataclass(frozen=True)
+class Artifacts:
+    """What an audit reads. Reports, Markdown lines, restorations and the listing of files are optional; their rules need them."""
+
+    blocks: DataFrame
+    chunks: DataFrame
+    reported_blocks: int | None = None
+    reported_chunks: int | None = None
+    reported_inputs: int | None = None
+    normalization_report: DataFrame | None = None
+    lines: DataFrame | None = None
+    restorations: DataFrame | None = None
+    files: DataFrame | None = None
+
+
+def full(a: Artifacts, config: AuditConfig = AuditConfig()) -> DataFrame:
+    """All rules (T21): issue rows with ``remediation_hint`` and ``issue_no``, by stage, document, place and code."""
+    found = [block_issues(a.blocks), chunk_issues(a.chunks, a.blocks, config)]
+    if a.lines is not None:
+        none = a.lines.sparkSession.createDataFrame([], "document_id string, line_no bigint, page bigint, text string")
+        found.append(marker_issues(a.lines, a.restorations if a.restorations is not None else none))
+    if a.files is not None:
+        found.append(missing_images(a.blocks, a.files))
+    if a.normalization_report is not None:
+        found.append(ratios(a.normalization_report, config))
+    for rows, n, stage, name in ((a.blocks, a.reported_blocks, "normalization", "normalized_block_count"), (a.chunks, a.reported_chunks, "chunking", "output_chunk_count"), (a.blocks, a.reported_inputs, "chunking", "input_block_count")):
+        if n is not None:
+            found.append(count_mismatch(rows, n, stage, name))
+    whole = reduce(DataFrame.unionByName, found)
+    hint = F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv])[F.col("issue_code")]
+    stage = F.array_position(F.array(*map(F.lit, STAGES)), F.col("pipeline_stage"))
+    order = Window.partitionBy("pipeline_stage", "document_id").orderBy(F.coalesce("block_ordinal", "chunk_ordinal").asc_nulls_first(), "issue_code", "block_id", "chunk_id", "evidence")
+    return whole.withColumn("remediation_hint", hint).withColumn("stage_no", stage).withColumn("issue_no", F.row_number().over(order))
+
+
+def report(issues: DataFrame) -> DataFrame:
+    """One row for each document: errors, warnings and whether it passed (SNK8)."""
+    n = issues.groupBy("document_id").agg(F.count_if(F.col("severity") == "error").alias("error_count"), F.count_if(F.col("severity") == "warning").alias("warning_count"))
+    return n.withColumn("passed", F.col("error_count") == 0)
+
+
 def summary(issues: DataFrame) -> DataFrame:
     """(severity, n) and whether there is no error (AGG9)."""
     return issues.groupBy("severity").agg(F.count("*").alias("n"))

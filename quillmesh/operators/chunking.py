@@ -149,13 +149,15 @@ def drafts(blocks: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> Data
 
 
 def chunks(blocks: DataFrame, config: ChunkingConfig = ChunkingConfig()) -> DataFrame:
-    """Knowledge chunks with ids, hashes and ordinals (PRJ7, W2)."""
+    """Knowledge chunks with ids, hashes and ordinals (PRJ7, W2). With a column ``identity`` of the blocks, that is the document's id in
+    the chunk ids."""
     d = drafts(blocks, config)
-    facts = blocks.groupBy("document_id").agg(F.min("source_path").alias("source_path"), F.min("normalization_version").alias("normalization_version"))
+    identity = F.col("identity") if "identity" in blocks.columns else F.col("document_id")
+    facts = blocks.groupBy("document_id").agg(F.min(identity).alias("identity"), F.min("source_path").alias("source_path"), F.min("normalization_version").alias("normalization_version"))
     w = Window.partitionBy("document_id").orderBy("group_no", "draft_no")
     at = d.join(facts, "document_id").withColumn("ordinal", F.row_number().over(w).cast("bigint")).withColumn("content_hash", ids.content_hash(F.col("content")))
     at = at.withColumn("chunking_version", F.lit(config.version)).withColumn("index_text", index_text(F.col("heading_path"), F.col("content")))
-    return at.withColumn("chunk_id", ids.chunk_id(*[F.col(c) for c in ("document_id", "heading_path", "block_ids", "content_hash", "chunking_version")])).select(
+    return at.withColumn("chunk_id", ids.chunk_id(*[F.col(c) for c in ("identity", "heading_path", "block_ids", "content_hash", "chunking_version")])).select(
         "chunk_id", "document_id", "content", "index_text", "heading_path", "page_start", "page_end", "ordinal", "block_ids", "source_path", "content_hash", "normalization_version", "chunking_version"
     )
 

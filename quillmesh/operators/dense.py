@@ -72,6 +72,33 @@ def payload(records: DataFrame) -> DataFrame:
     return records.select(point_id(F.col("chunk.chunk_id")).alias("point_id"), "chunk.*", prefix_keys(F.col("chunk.heading_path")).alias("heading_prefixes"), F.col("vector.values").alias("values"), "embedding_version")
 
 
+#: Fields of a chunk in its stored form.
+CHUNK_FIELDS = ("chunk_id", "document_id", "content", "index_text", "heading_path", "page_start", "page_end", "ordinal", "block_ids", "source_path", "content_hash", "normalization_version", "chunking_version")
+
+
+def restored(stored: DataFrame) -> DataFrame:
+    """Chunks from their stored form (PRJ5): a missing field is an error at once, one that is null when the rows are read."""
+    missing = sorted(set(CHUNK_FIELDS) - set(stored.columns))
+    if missing:
+        raise ValueError(f"the stored form lacks fields of chunks: {', '.join(missing)}")
+
+    def given(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"a stored chunk has no {c}: "), F.coalesce("chunk_id", F.lit("?"))))).alias(c)
+
+    return stored.select(*[given(c) for c in CHUNK_FIELDS])
+
+
+def stored_predicate(filters: SearchFilters) -> Column:
+    """Search filters on the stored form: the heading prefix is looked up among the keys of prefixes (FIL2)."""
+    from dataclasses import replace
+
+    rest = replace(filters, heading_prefix=None).predicate()
+    if filters.heading_prefix is None:
+        return rest
+    key = F.to_json(F.array(*map(F.lit, filters.heading_prefix)))
+    return rest & F.array_contains("heading_prefixes", key)
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
     """The table after new rows replaced those of the same key (SNK10): of several new rows the last, by content, wins."""
     last = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(c) for c in new.columns]).desc())

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.functions.analyzer import Analyzer
 from quillmesh.functions.filters import SearchFilters, matches
 from quillmesh.functions.text import tokens
+from quillmesh.session import ship
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 #: Scores that differ less count as equal, so that the order of a sum can't change a rank.
@@ -24,11 +28,18 @@ class LexicalIndex:
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    analyzer: Analyzer | None = None
+    stopwords: tuple[str, ...] = ()
 
 
-def posted(chunks: DataFrame, text: str = "index_text", stopwords: tuple[str, ...] = ()) -> DataFrame:
+def terms_of(col: Column, stopwords: tuple[str, ...] = (), analyzer: Analyzer | None = None) -> Column:
+    """The terms of a text: by a dictionary if there is an analyzer, else by the native rule."""
+    return analyzer.column(col) if analyzer is not None else tokens(col, stopwords)
+
+
+def posted(chunks: DataFrame, text: str = "index_text", stopwords: tuple[str, ...] = (), analyzer: Analyzer | None = None) -> DataFrame:
     """(chunk_id, term, tf, dl): the terms of each chunk with their counts and the chunk's length."""
-    each = chunks.select("chunk_id", tokens(F.col(text), stopwords).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    each = chunks.select("chunk_id", terms_of(F.col(text), stopwords, analyzer).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     return each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("bigint").alias("dl"))
 
 
@@ -44,29 +55,32 @@ def inverse_frequencies(stats: DataFrame, corpus: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def build(chunks: DataFrame, text: str = "index_text", stopwords: tuple[str, ...] = (), keep: bool = True) -> LexicalIndex:
-    """The index of chunks with unique ids; ``keep`` persists the postings for the searches of a session."""
-    postings = posted(chunks, text, stopwords)
+def build(chunks: DataFrame, text: str = "index_text", stopwords: tuple[str, ...] = (), keep: bool = True, analyzer: Analyzer | None = None, check: bool = False) -> LexicalIndex:
+    """The index of chunks with unique ids; ``keep`` persists the postings for the searches of a session, ``check`` reads the corpus
+    once to refuse one that is empty, repeats an id or has a chunk without terms (T11)."""
+    postings = posted(chunks, text, stopwords, analyzer)
     if keep:
         postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
     lengths = postings.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
     corpus = chunks.agg(F.count("*").alias("n")).join(F.broadcast(lengths.agg(F.sum("dl").alias("total")))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-    return LexicalIndex(chunks, postings, inverse_frequencies(term_stats(postings), corpus), corpus)
+    if check:
+        wrong = unfit(chunks, postings).first()
+        if wrong is not None:
+            raise ValueError(f"{wrong.reason}{': ' + wrong.chunk_id if wrong.chunk_id else ''}")
+    return LexicalIndex(chunks, postings, inverse_frequencies(term_stats(postings), corpus), corpus, analyzer, stopwords)
 
 
-def query_terms(queries: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """(query_id, term, qtf) of queries (query_id, query)."""
-    return queries.select("query_id", F.explode(tokens(F.col("query"), stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+def unfit(chunks: DataFrame, postings: DataFrame) -> DataFrame:
+    """(reason, chunk_id) of what keeps a corpus from being indexed: no chunks, a repeated id, a chunk without searchable terms."""
+    none = chunks.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("the corpus is empty").alias("reason"), F.lit(None).cast("string").alias("chunk_id"))
+    twice = chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("the chunk id is repeated").alias("reason"), "chunk_id")
+    bare = chunks.select("chunk_id").distinct().join(postings.select("chunk_id"), "chunk_id", "left_anti").select(F.lit("the chunk has no searchable terms").alias("reason"), "chunk_id")
+    return none.unionByName(twice).unionByName(bare)
 
 
-def scored(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of all chunks that share a term with a query, whatever the sign of the score. A
-    posting's weight is the same for all queries, so it is computed before the join and the join sums it."""
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    asked = query_terms(queries)
-    needed = index.terms.join(asked.select("term").distinct(), "term", "left_semi")
-    weights = index.postings.join(needed, "term").join(F.broadcast(index.corpus)).select("term", "chunk_id", weight.alias("w"))
-    return asked.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
+def query_terms(queries: DataFrame, stopwords: tuple[str, ...] = (), analyzer: Analyzer | None = None) -> DataFrame:
+    """(query_id, term, qtf) of queries (query_id, query)."""
+    return queries.select("query_id", F.explode(terms_of(F.col("query"), stopwords, analyzer)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def ranked(scores: DataFrame, k: int, *ties: Column | str) -> DataFrame:
@@ -75,17 +89,115 @@ def ranked(scores: DataFrame, k: int, *ties: Column | str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
-def search(index: LexicalIndex, queries: DataFrame, k: int = 5, filters: SearchFilters | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank). ``filters`` hold for all queries; a ``filters`` column of the queries holds for its own.
-    Statistics are of the unfiltered corpus."""
-    scores = scored(index, queries)
-    if filters is not None:
-        scores = scores.join(index.chunks.where(filters.predicate()).select("chunk_id"), "chunk_id", "left_semi")
-    if "filters" in queries.columns:
-        facts = index.chunks.select("chunk_id", "document_id", "heading_path", "page_start", "page_end")
-        at = scores.join(facts, "chunk_id").join(queries.select("query_id", "filters"), "query_id")
-        scores = at.where(F.col("filters").isNull() | matches(F.col("filters"), F.col("document_id"), F.col("heading_path"), F.col("page_start"), F.col("page_end"))).select("query_id", "chunk_id", "score")
-    return ranked(scores, k)
+#: Chunks and queries of one block; a block of chunks holds its postings of the terms asked for.
+CHUNK_BLOCK, QUERY_BLOCK = 4096, 1024
+_FACTS = ("document_id", "heading_path", "page_start", "page_end")
+
+
+def search(index: LexicalIndex, queries: DataFrame, k: int = 5, filters: SearchFilters | None = None, ties: tuple[str, ...] = ("chunk_id",)) -> DataFrame:
+    """(query_id, chunk_id, score, rank) of the k best chunks that share a term with a query, whatever the sign of the score. ``filters`` hold for
+    all queries; a ``filters`` column of the queries holds for its own. Statistics are of the unfiltered corpus. ``ties`` are columns of the
+    chunks that order equal scores, such as the place in the corpus.
+
+    A posting's weight is the same for all queries. Postings of the terms asked for are laid out by chunk and scored in blocks of chunks
+    and queries; only the k best of a block, and what ties with them, leave it. So neither a frequent term nor the number of queries makes rows of
+    query and chunk."""
+    ship(index.chunks.sparkSession)
+    asked = query_terms(queries, index.stopwords, index.analyzer)
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    needed = index.terms.join(asked.select("term").distinct(), "term", "left_semi")
+    weights = index.postings.join(needed, "term").join(F.broadcast(index.corpus)).select("chunk_id", "term", weight.alias("w"))
+    rows = weights.groupBy("chunk_id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights"))
+    own = "filters" in queries.columns
+    facts = index.chunks if filters is None else index.chunks.where(filters.predicate())
+    extra = [t for t in ties if t != "chunk_id"]
+    if own or filters is not None or extra:
+        rows = rows.join(facts.select("chunk_id", *(_FACTS if own else ()), *[F.col(t).alias(f"tie_{t}") for t in extra]), "chunk_id")
+    whole = index.corpus.select(F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK_BLOCK)).alias("chunk_blocks")).join(F.broadcast(queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / QUERY_BLOCK)).alias("query_blocks"))))
+    one = asked.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("qtf").alias("counts"))
+    if own:
+        one = one.join(queries.select("query_id", "filters"), "query_id")
+
+    def placed(df: DataFrame, key: str, mine: str, other: str) -> DataFrame:
+        at = df.join(F.broadcast(whole)).withColumn("__m", F.pmod(F.xxhash64(key), mine)).withColumn("__o", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))  # one row of sizes
+        return at.drop("chunk_blocks", "query_blocks")
+
+    a = placed(rows, "chunk_id", "chunk_blocks", "query_blocks").withColumnsRenamed({"__m": "cb", "__o": "qb"})
+    b = placed(one, "query_id", "query_blocks", "chunk_blocks").withColumnsRenamed({"__m": "qb", "__o": "cb"})
+    tie_types = "".join(f", tie_{t} {facts.schema[t].dataType.simpleString()}" for t in extra)
+    ddl = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {index.chunks.schema['chunk_id'].dataType.simpleString()}, score double{tie_types}"
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        return block_hits(x, y, k, [f"tie_{t}" for t in extra], own)
+
+    left = a.select(*[F.col(c).alias(c) for c in a.columns])
+    right = b.select(F.col("cb").alias("cb_"), F.col("qb").alias("qb_"), *[F.col(c).alias(c) for c in b.columns if c not in ("cb", "qb")])
+    found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb_", "qb_")).applyInArrow(best, ddl)
+    return ranked(found, k, *[f"tie_{t}" if t != "chunk_id" else t for t in ties]).select("query_id", "chunk_id", "score", "rank")
+
+
+def block_hits(x: pa.Table, y: pa.Table, k: int, ties: list[str], own: bool) -> pa.Table:
+    """The k best chunks of a block ``x`` for each query of ``y``, with all that tie with the last of them."""
+    names = ["query_id", "chunk_id", "score", *ties]
+    types = [y.schema.field("query_id").type, x.schema.field("chunk_id").type, pa.float64(), *[x.schema.field(t).type for t in ties]]
+    schema = pa.schema(list(zip(names, types, strict=True)))
+    if not x.num_rows or not y.num_rows:
+        return schema.empty_table()
+    x, y = x.combine_chunks(), y.combine_chunks()
+    terms = x["terms"].combine_chunks()
+    coded = terms.flatten().dictionary_encode()
+    code, at = coded.indices.to_numpy(), np.repeat(np.arange(x.num_rows), np.diff(terms.offsets.to_numpy()))
+    weight = x["weights"].combine_chunks().flatten().to_numpy()
+    order = np.argsort(code, kind="stable")
+    at, weight = at[order], weight[order]
+    low = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+    number = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+    test = BlockFilter(x) if own else None
+    who, which, scores = [], [], []
+    asked = zip(y["terms"].to_pylist(), y["counts"].to_pylist(), y["filters"].to_pylist() if own else [None] * y.num_rows, strict=True)
+    for q, (words, counts, wanted) in enumerate(asked):
+        score, hit = np.zeros(x.num_rows), np.zeros(x.num_rows, bool)
+        for w, n in zip(words, counts, strict=True):
+            i = number.get(w)
+            if i is not None:
+                part = slice(low[i], low[i + 1])
+                score[at[part]] += n * weight[part]  # a chunk has a term once
+                hit[at[part]] = True
+        if wanted is not None and test is not None:
+            hit &= test.passing(wanted)
+        rows = np.flatnonzero(hit)
+        if len(rows) > k:
+            least = np.round(-np.partition(-score[rows], k - 1)[k - 1], DIGITS)
+            rows = rows[np.round(score[rows], DIGITS) >= least]
+        who.append(np.full(len(rows), q))
+        which.append(rows)
+        scores.append(score[rows])
+    rows = pa.array(np.concatenate(which))
+    columns = [y["query_id"].take(pa.array(np.concatenate(who))), x["chunk_id"].take(rows), pa.chunked_array([np.concatenate(scores)]), *[x[t].take(rows) for t in ties]]
+    return pa.Table.from_arrays(columns, schema=schema)
+
+
+class BlockFilter:
+    """Filters of single queries over the chunks of a block; the rule is that of ``functions.filters.matches``."""
+
+    def __init__(self, x: pa.Table) -> None:
+        self.documents = np.array(x["document_id"].to_pylist(), object)
+        self.paths = [None if p is None else tuple(p) for p in x["heading_path"].to_pylist()]
+        self.first, self.last = (np.array([np.nan if v is None else v for v in x[c].to_pylist()], float) for c in ("page_start", "page_end"))
+
+    def passing(self, f: dict) -> np.ndarray:
+        ok = np.ones(len(self.paths), bool)
+        if f["document_ids"] is not None:
+            ok &= np.isin(self.documents, [d for d in f["document_ids"] if d is not None])
+        if f["heading_prefix"] is not None:
+            want = tuple(f["heading_prefix"])
+            ok &= np.array([p is not None and p[: len(want)] == want for p in self.paths], bool)
+        with np.errstate(invalid="ignore"):
+            if f["page_start"] is not None:
+                ok &= self.last >= f["page_start"]
+            if f["page_end"] is not None:
+                ok &= self.first <= f["page_end"]
+        return ok
 
 
 def candidate_counts(chunks: DataFrame, queries: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.functions.filters import SearchFilters
 from quillmesh.operators import dense
 
 
@@ -99,8 +100,33 @@ class VectorTable:
         found = self.snapshots()
         return self.spark.read.parquet(f"{self.path}/s{found[-1]}") if found else None
 
+    def create(self) -> bool:
+        """Makes sure that the table can take vectors of its dimensions: nothing to do for a new one, an error if the present one
+        has others or several versions (SNK12). True if it is new."""
+        rows = self.read()
+        if rows is None:
+            return True
+        facts = rows.agg(F.count_if(F.size("values") != self.dimensions).alias("other"), F.count_distinct("embedding_version").alias("versions")).first()
+        if facts.other:
+            raise ValueError(f"the table has {facts.other} vectors of other dimensions than {self.dimensions}")
+        if facts.versions > 1:
+            raise ValueError("the table has several embedding versions")
+        return False
+
+    def search(self, queries: DataFrame, k: int = 5, filters: SearchFilters | None = None) -> DataFrame:
+        """The k nearest points of each query vector (query_id, values), chunks restored: (query_id, rank, score, chunk fields)."""
+        rows = self.read()
+        if rows is None:
+            raise ValueError("the table has no vectors")
+        if filters is not None:
+            rows = rows.where(dense.stored_predicate(filters))
+        space = F.lit("all").alias("space")
+        hits = dense.search(rows.select("chunk_id", space, "values"), queries.select("query_id", space, "values"), k)
+        return hits.join(dense.restored(rows), "chunk_id")
+
     def upsert(self, records: DataFrame) -> int:
         """Writes records (chunk, vector, embedding_version); gives the number of points afterwards."""
+        self.create()
         checked = records.where(dense.valid_vector(F.col("vector.values"), F.col("vector.dimensions")))
         if records.count() != checked.count() or checked.where(F.col("vector.dimensions") != self.dimensions).limit(1).count():
             raise ValueError("vectors must be finite, not zero and of the table's dimensions")

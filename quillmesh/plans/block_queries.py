@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text
 from quillmesh.operators import audit, chunking, corpus, sequences
-from quillmesh.plans.registry import query
+from quillmesh.plans.register import query
 from quillmesh.plans.retrieval_queries import CHUNKS_SQL, chunks_of
 from quillmesh.sources.tables import once, table
 

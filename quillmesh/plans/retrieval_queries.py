@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import ids, text
 from quillmesh.operators import dense, evaluation, fusion, lexical
-from quillmesh.plans.registry import query
+from quillmesh.plans.register import query
 from quillmesh.sources.tables import once, table
 
 _WIDE, _NARROW = text._WIDE, text._NARROW

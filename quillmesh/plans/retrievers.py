@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.filters import SearchFilters
@@ -24,18 +24,21 @@ class Retrievers:
     index: lexical.LexicalIndex
     vectors: DataFrame | None = None
     embed: Any = None
+    ties: tuple[str, ...] = ("document_id", "ordinal", "chunk_id")  # the order of the corpus
 
     def search(self, name: str, queries: DataFrame, k: int = 5, filters: SearchFilters | None = None, fetch_k: int = fusion.FETCH_K, rrf_k: int = fusion.RRF_K, leg_k: int = fusion.LEG_K) -> DataFrame:
         if name not in NAMES:
             raise ValueError(f"unknown retriever {name}")
+        if not 1 <= k <= fetch_k <= MOST_FETCH and name == "rerank" or k < 1 or rrf_k < 1 or not 1 <= leg_k <= MOST_FETCH:
+            raise ValueError(f"sizes must be positive, at most {MOST_FETCH}, and as many fetched as returned")
         if name == "bm25":
-            return lexical.search(self.index, queries, k, filters)
+            return lexical.search(self.index, queries, k, filters, self.ties)
         if self.vectors is None or self.embed is None:
             raise ValueError(f"{name} needs vectors and an embedding function")
         if name == "dense":
             return dense.search(self.vectors, self.embed(queries), k, filters)
         if name == "hybrid":
-            legs = lexical.search(self.index, queries, leg_k, filters), dense.search(self.vectors, self.embed(queries), leg_k, filters)
+            legs = lexical.search(self.index, queries, leg_k, filters, self.ties), dense.search(self.vectors, self.embed(queries), leg_k, filters)
             return fusion.reciprocal_ranks(*legs, k=k, rrf_k=rrf_k, leg_k=leg_k)
         return fusion.rerank(self.search("hybrid", queries, fetch_k, filters, rrf_k=rrf_k, leg_k=leg_k), queries, self.index.chunks, k)
 
@@ -76,11 +79,21 @@ class SearchTool:
             queries = spark.createDataFrame([("q", args["query"])], "query_id string, query string")
             hits = self.retrievers.search(args["retriever"], queries, args["top_k"], args["filters"])
             rows = hits.join(self.retrievers.index.chunks, "chunk_id").select("rank", "score", "chunk_id", "document_id", "heading_path", "page_start", "page_end", "content").orderBy("rank").collect()
-            return {"success": True, "retriever": args["retriever"], "hits": [r.asDict() for r in rows]}
+            counts = lexical.candidate_counts(self.retrievers.index.chunks, queries.withColumn("filters", filters_column(args["filters"]))).first()
+            return {"success": True, "retriever": args["retriever"], "candidate_count": counts.candidate_count, "hits": [r.asDict() for r in rows]}
         except Exception as e:  # noqa: BLE001
             return {"success": False, "error": f"{type(e).__name__}: {str(e)[:300]}"}
 
 
+def filters_column(f: SearchFilters) -> Column:
+    """Filters as the struct that tables of cases have."""
+    def strings(values: tuple[str, ...] | None) -> Column:
+        return F.lit(None).cast("array<string>") if values is None else F.array(*map(F.lit, values))
+
+    pages = [F.lit(v).cast("bigint").alias(n) for n, v in (("page_start", f.page_start), ("page_end", f.page_end))]
+    return F.struct(strings(f.document_ids).alias("document_ids"), strings(f.heading_prefix).alias("heading_prefix"), *pages)
+
+
 def hits_with_chunks(hits: DataFrame, chunks: DataFrame, source_path: bool = False) -> DataFrame:
     """Hits with what a caller may see (PRJ1-PRJ3); the source path only if asked for."""
     h = F.col("heading_path")

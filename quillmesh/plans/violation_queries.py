@@ -10,7 +10,7 @@ from quillmesh.functions import ids
 from quillmesh.functions.text import trimmed
 from quillmesh.operators import audit, corpus, dense, evaluation, sequences
 from quillmesh.plans.block_queries import _ORPHANS, AUDIT_BLOCKS_SQL, BLOCKS_SQL, blocks_of, trim_sql
-from quillmesh.plans.registry import query
+from quillmesh.plans.register import query
 from quillmesh.plans.retrieval_queries import CASES_SQL, CHUNKS_SQL, cases_of, chunks_of
 from quillmesh.sources.tables import table
 

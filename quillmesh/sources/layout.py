@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import ids
 from quillmesh.functions.text import NUMBERED_HEADING, chapter_marker, heading_level, normalize_text
+from quillmesh.operators import overlay
 from quillmesh.operators.sequences import orphan_punctuation
 from quillmesh.session import ship
 
@@ -122,18 +123,27 @@ def heading_fold(rows: DataFrame) -> DataFrame:
     )
 
 
-def normalized(documents: DataFrame, version: str = "1.1.0") -> DataFrame:
-    """Normalized blocks of layout documents (document_id, source_path, pages, texts, pictures): T1 without corrections."""
+def normalized(documents: DataFrame, version: str = "1.1.0", overlays: dict[str, list[overlay.Correction]] | None = None) -> DataFrame:
+    """Normalized blocks of layout documents (document_id, source_path, pages, texts, pictures): extraction, heading fold, the corrections of
+    ``overlays`` by document, lone punctuation, ids (T1). With a column ``identity``, that is the document's id in the hashes, while document_id
+    only tells layouts apart. A caption of several pictures and a block on a page the document doesn't have are errors when the rows are read (J4, T6)."""
     rows = items(documents)
-    images = caption_images(documents).where("not conflict").select("document_id", "source_ref", "image_path")
+    image = F.when(F.col("conflict"), F.raise_error(F.concat(F.lit("a caption belongs to several pictures: "), "source_ref"))).otherwise(F.col("image_path"))
+    images = caption_images(documents).select("document_id", "source_ref", image.alias("image_path"))
     folded = heading_fold(rows).join(images, ["document_id", "source_ref"], "left").withColumn("ordinal", F.col("place")).withColumn("block_id", F.col("source_ref"))
+    if overlays:
+        folded = overlay.applied(folded.drop("place"), overlays).withColumn("place", F.col("ordinal"))
     merged = orphan_punctuation(folded)
     w = Window.partitionBy("document_id").orderBy("place")
-    parts = ["document_id", "version", "source_ref", "page_start", "page_end", "block_type"]
-    at = merged.withColumn("ordinal", F.row_number().over(w).cast("bigint")).withColumn("version", F.lit(version))
-    at = at.withColumn("block_id", ids.block_id(*[F.col(p) for p in parts], F.array_join("heading_path", "\n"), F.col("text")))
-    paths = documents.select("document_id", "source_path")
-    return at.join(paths, "document_id").select("block_id", "document_id", "text", "block_type", "heading_path", "page_start", "page_end", "ordinal", "source_path", "image_path", F.col("version").alias("normalization_version"), "source_ref", "merged", "relabelled", "downgraded")
+    identity = F.col("identity") if "identity" in documents.columns else F.col("document_id")
+    facts = documents.select("document_id", identity.alias("identity"), "source_path", F.transform(F.map_values("pages"), lambda p: p["page_no"]).alias("__pages"))
+    at = merged.withColumn("ordinal", F.row_number().over(w).cast("bigint")).withColumn("version", F.lit(version)).join(facts, "document_id")
+    parts = [F.col(p) for p in ("identity", "version", "source_ref", "page_start", "page_end", "block_type")]
+    at = at.withColumn("block_id", ids.block_id(*parts, F.array_join("heading_path", "\n"), F.col("text")))
+    known = F.array_contains("__pages", F.col("page_start")) & F.array_contains("__pages", F.col("page_end"))
+    at = at.withColumn("page_start", F.when(known, F.col("page_start")).otherwise(F.raise_error(F.concat(F.lit("a block is on a page outside the source: "), "source_ref"))))
+    extra = ["identity"] if "identity" in documents.columns else []
+    return at.select("block_id", "document_id", "text", "block_type", "heading_path", "page_start", "page_end", "ordinal", "source_path", "image_path", F.col("version").alias("normalization_version"), "source_ref", "merged", "relabelled", "downgraded", *extra)
 
 
 def report(documents: DataFrame, blocks: DataFrame) -> DataFrame:
