@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 def assembled(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     """Chunks of indexed sections in the order of the sections, with new ordinals for each book and unchanged ids.
-    A chunk belongs to the first indexed section that its first page lies in."""
-    s = sections.where("include_in_index").select("book_id", "section_id", "start_page", "end_page")
-    at = chunks.withColumn("book_id", F.col("document_id")).join(s, "book_id").where("page_start between start_page and end_page")
+    A chunk belongs to the first indexed section that its first page lies in. Sections are laid on buckets of 16 pages, so that
+    chunks of a large book meet only the sections near them."""
+    s = sections.where("include_in_index and start_page <= end_page").select("book_id", "section_id", "start_page", "end_page")
+    s = s.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("start_page") / 16), F.floor(F.col("end_page") / 16))))
+    at = chunks.withColumn("book_id", F.col("document_id")).withColumn("__bucket", F.floor(F.col("page_start") / 16)).join(s, ["book_id", "__bucket"]).where("page_start between start_page and end_page").drop("__bucket")
     first = Window.partitionBy("chunk_id").orderBy("start_page", "section_id")
     one = at.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
     place = Window.partitionBy("book_id").orderBy("start_page", "section_id", "ordinal", "chunk_id")

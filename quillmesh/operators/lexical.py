@@ -212,7 +212,7 @@ def candidate_counts(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     by_heading = f.where("kind = 'heading'").withColumn("__head", F.col("filters.heading_prefix")[0]).join(head, "__head").where(test)
     pages = facts.groupBy("page_start", "page_end").agg(F.count("*").alias("c"))
     overlap = F.coalesce(F.col("page_end") >= F.col("filters.page_start"), F.lit(True)) & F.coalesce(F.col("page_start") <= F.col("filters.page_end"), F.lit(True))
-    by_page = f.where("kind = 'pages'").join(pages, overlap).groupBy("query_id").agg(F.sum("c").alias("candidate_count"))
+    by_page = f.where("kind = 'pages'").join(pages, overlap).groupBy("query_id").agg(F.sum("c").alias("candidate_count"))  # page ranges, not chunks
     some = by_document.select("query_id").unionByName(by_heading.select("query_id")).groupBy("query_id").agg(F.count("*").alias("candidate_count")).unionByName(by_page)
     out = f.join(some, "query_id", "left").join(F.broadcast(n))
     return out.select("query_id", F.when(F.col("kind") == "all", F.col("n")).otherwise(F.coalesce("candidate_count", F.lit(0))).alias("candidate_count"))

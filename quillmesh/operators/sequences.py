@@ -112,11 +112,18 @@ def boxes_meet(a: DataFrame, b: DataFrame, tile: float = 64.0) -> DataFrame:
     return j.where(corner).select("id_a", "id_b")
 
 
-def pages_meet(chunks: DataFrame, sections: DataFrame) -> DataFrame:
-    """(chunk_id, section_id) of chunks whose pages overlap a section of their document (FIL3)."""
-    c = chunks.select("chunk_id", "document_id", "page_start", "page_end")
-    s = sections.select(F.col("book_id").alias("document_id"), "section_id", "start_page", "end_page")
-    return c.join(s, "document_id").where("page_start <= end_page and page_end >= start_page").select("chunk_id", "section_id")
+def pages_meet(chunks: DataFrame, sections: DataFrame, bucket: int = 16) -> DataFrame:
+    """(chunk_id, section_id) of chunks whose pages overlap a section of their document (FIL3). Both sides are laid on buckets of pages
+    and joined by document and bucket, so that a large document is many keys; a pair is kept in the first bucket that both have."""
+
+    def laid(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        low, high = F.floor(F.least(a, b) / bucket), F.floor(F.greatest(a, b) / bucket)
+        return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("bucket", F.explode(F.sequence(low, high))).withColumn(name, low)
+
+    c = laid(chunks.select("chunk_id", "document_id", "page_start", "page_end"), "page_start", "page_end", "__c")
+    s = laid(sections.select(F.col("book_id").alias("document_id"), "section_id", "start_page", "end_page"), "start_page", "end_page", "__s")
+    met = c.join(s, ["document_id", "bucket"]).where("page_start <= end_page and page_end >= start_page")
+    return met.where(F.col("bucket") == F.greatest("__c", "__s")).select("chunk_id", "section_id")
 
 
 def page_coverage(chunks: DataFrame, sections: DataFrame) -> DataFrame:
