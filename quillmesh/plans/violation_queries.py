@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import ids
 from quillmesh.functions.text import trimmed
-from quillmesh.operators import audit, corpus, dense, evaluation, sequences
+from quillmesh.operators import audit, baseline, corpus, dense, evaluation, sequences
 from quillmesh.plans.block_queries import _ORPHANS, AUDIT_BLOCKS_SQL, BLOCKS_SQL, blocks_of, trim_sql
 from quillmesh.plans.register import query
 from quillmesh.plans.retrieval_queries import CASES_SQL, CHUNKS_SQL, cases_of, chunks_of
@@ -172,3 +172,78 @@ def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
     old = by.select("old.*", F.lit("kept").alias("origin"))
     new = by.where("n > 1").select("new.*", F.lit("replaced").alias("origin"))
     return dense.upsert(old, new, "vec_id").select("vec_id", F.unix_micros("ingested_at").alias("taken"), "origin")
+
+
+# ---------------------------------------------------------------- cases from headings, the baseline's audit
+
+_OUTLINE = r"^(?:[0-9]+(?:\.[0-9]+){1,3}[\s\x{0b}\x{a0}\x{2000}-\x{200a}\x{3000}]|第[一二三四五六七八九十百千0-9]+[章节篇部分])"
+
+
+@query(
+    f"""WITH {BLOCKS_SQL}, t AS (SELECT *, {trim_sql('text')} AS x FROM b WHERE block_type IN ('paragraph', 'list_item') AND text IS NOT NULL)
+    SELECT block_id FROM t WHERE x <> '' AND (regexp_matches(x, '{_OUTLINE}') OR (length(x) <= 24 AND substr(x, length(x), 1) NOT IN ('。', '；', '，', '！', '？', '.', ';', ',')))"""
+)
+def heading_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return baseline.heading_candidates(blocks_of(spark, d)).select("block_id")
+
+
+_REVIEW_SQL = "r AS (SELECT DISTINCT document_id, page_start AS page FROM b WHERE block_type = 'figure_label' AND page_start IS NOT NULL)"
+
+
+def _review_pages(blocks: DataFrame) -> DataFrame:
+    return blocks.where("block_type = 'figure_label' and page_start is not null").select("document_id", F.col("page_start").alias("page")).distinct()
+
+
+@query(
+    f"""WITH {BLOCKS_SQL}, {_REVIEW_SQL}, f AS (SELECT document_id, page_start AS page, arg_min(coalesce(heading_path, []), (ordinal, block_id)) AS p FROM b GROUP BY ALL)
+    SELECT document_id, page, array_to_string(p, ' / ') AS context FROM r LEFT JOIN f USING (document_id, page)"""
+)
+def page_context(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with a figure label stand for those to be reviewed."""
+    b = blocks_of(spark, d)
+    return baseline.page_context(b, _review_pages(b))
+
+
+@query(
+    f"""WITH {BLOCKS_SQL}, f AS (SELECT DISTINCT regexp_extract(image_path, '[^/]+$') AS name FROM b WHERE image_path IS NOT NULL), k AS (SELECT DISTINCT regexp_extract(image_path, '[^/]+$') AS name FROM b WHERE image_path IS NOT NULL AND ordinal % 2 = 0)
+    SELECT name FROM f WHERE name NOT IN (SELECT name FROM k)"""
+)
+def unregistered_images(spark: SparkSession, d: str) -> DataFrame:
+    """The images of every second block stand for those that are registered."""
+    b = blocks_of(spark, d).withColumn("path", F.col("image_path"))
+    return baseline.unregistered(b.select("path"), b.where("ordinal % 2 = 0").select("path"))
+
+
+@query(
+    f"""WITH {BLOCKS_SQL}, {CHUNKS_SQL}, p AS (SELECT document_id, ordinal AS n, {trim_sql('text')} AS heading FROM b WHERE block_type = 'section_heading' AND text IS NOT NULL AND {trim_sql('text')} <> ''),
+    u AS (SELECT DISTINCT document_id, chunk_id, ordinal, unnest(heading_path) AS heading FROM c)
+    SELECT document_id, n, chunk_id, row_number() OVER (PARTITION BY document_id, n ORDER BY ordinal, chunk_id) AS place FROM p JOIN u USING (document_id, heading)"""
+)
+def section_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks under each section heading, anywhere in their path."""
+    probes = evaluation.section_probes(blocks_of(spark, d))
+    rows = evaluation.relevant_under(probes, chunks_of(spark, d))
+    return rows.select("document_id", F.regexp_extract("case_id", r"^section-(\d+)-", 1).cast("bigint").alias("n"), "chunk_id", "place")
+
+
+@query(
+    f"""WITH {BLOCKS_SQL}, {CHUNKS_SQL}, p AS (SELECT DISTINCT document_id, heading_path[1] AS heading FROM c WHERE heading_path[1] IS NOT NULL AND trim(heading_path[1]) <> ''), u AS (SELECT DISTINCT document_id, chunk_id, ordinal, content, unnest(heading_path) AS heading FROM c)
+    SELECT document_id, heading, chunk_id, row_number() OVER (PARTITION BY document_id, heading ORDER BY ordinal, chunk_id) AS place FROM p JOIN u USING (document_id, heading) WHERE contains(coalesce(content, ''), 'TCP')"""
+)
+def semantic_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """For each chapter of each document the chunks that mention TCP."""
+    c = chunks_of(spark, d)
+    chapter = F.try_element_at("heading_path", F.lit(1))
+    probes = c.select("document_id", chapter.alias("heading")).distinct().where("heading is not null").select("document_id", F.col("heading").alias("case_id"), "heading", F.lit("TCP").alias("text"))
+    return evaluation.relevant_under(probes, c).withColumnRenamed("case_id", "heading")
+
+
+@query(
+    f"""WITH {BLOCKS_SQL}, {_REVIEW_SQL}, t AS (SELECT *, {trim_sql('text')} AS x FROM b WHERE block_type IN ('paragraph', 'list_item') AND text IS NOT NULL),
+    h AS (SELECT document_id, count(*) AS candidates FROM t WHERE x <> '' AND (regexp_matches(x, '{_OUTLINE}') OR (length(x) <= 24 AND substr(x, length(x), 1) NOT IN ('。', '；', '，', '！', '？', '.', ';', ','))) GROUP BY ALL),
+    n AS (SELECT document_id, count(*) AS blocks, count_if(block_type IN ('document_title', 'section_heading'))::BIGINT AS headings, count_if(block_type = 'figure_caption')::BIGINT AS captions FROM b GROUP BY ALL), v AS (SELECT document_id, count(*) AS review_pages FROM r GROUP BY ALL)
+    SELECT document_id, blocks, headings, captions, coalesce(candidates, 0) AS candidates, coalesce(review_pages, 0) AS review_pages FROM n LEFT JOIN h USING (document_id) LEFT JOIN v USING (document_id)"""
+)
+def baseline_overview(spark: SparkSession, d: str) -> DataFrame:
+    b = blocks_of(spark, d)
+    return baseline.overview(b, _review_pages(b))
