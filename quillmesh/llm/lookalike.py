@@ -285,3 +285,15 @@ def lookalike_pairs(texts: DataFrame, least_chars: int = LEAST_CHARS) -> DataFra
     a = rows.select(*key, F.col("raw").alias("raw_a"), F.col("id").alias("id_a"))
     b = rows.select(*key, F.col("raw").alias("raw_b"), F.col("id").alias("id_b"))
     return a.join(b, key).where("raw_a != raw_b and id_a < id_b").select("record_kind", "id_a", "id_b")
+
+
+def classes(texts: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(record_kind, id, class_id, forms, links) of every record that looks like another one without being the same string: its class by the hash of
+    the common form, the number of different strings in it, and the number of records of other strings. Copies aren't expanded into pairs, so a
+    class of any size is as many rows as records; counts are made before the rows are shuffled."""
+    long = canonical(texts, least_chars).persist(StorageLevel.MEMORY_AND_DISK)
+    key = ["record_kind", "canon"]
+    strings = long.groupBy(*key, "raw").agg(F.count("*").alias("n"))
+    whole = strings.groupBy(*key).agg(F.sum("n").alias("records"), F.count("*").alias("forms")).where("forms > 1")
+    counts = strings.join(whole, key).select(*key, "raw", "forms", (F.col("records") - F.col("n")).alias("links"))
+    return long.join(counts, [*key, "raw"]).select("record_kind", "id", F.lower(F.hex("canon")).alias("class_id"), "forms", "links")

@@ -113,6 +113,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(_visible(spark, d))
 
 
+@query
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.classes(_visible(spark, d))
+
+
+@query
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each usable vector with its class of exact copies and the number of close partners outside it."""
+    return vectors.linked(table(spark, d, "vector_records"))
+
+
 @query
 def p3_normalized(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalized(_visible(spark, d))

@@ -405,6 +405,16 @@ def close_pairs(records: DataFrame, least: float = 0.95, goal: Goal | None = Non
     return across.unionByName(within).select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b"))
 
 
+def linked(records: DataFrame, least: float = 0.95, goal: Goal | None = None) -> DataFrame:
+    """(vec_id, rep, copies, links) of every usable vector: its class of exact copies and how many vectors outside the class are close to it.
+    Copies are counted, not expanded."""
+    links, members = close_links(records, least, goal)
+    sizes = members.where("vec_id = rep").select("rep", "copies")
+    both = links.select(F.col("vec_a").alias("rep"), F.col("vec_b").alias("other")).unionByName(links.select(F.col("vec_b").alias("rep"), F.col("vec_a").alias("other")))
+    n = both.join(sizes.withColumnsRenamed({"rep": "other", "copies": "n"}), "other").groupBy("rep").agg(F.sum("n").alias("links"))
+    return members.join(n, "rep", "left").select("vec_id", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def nearest_exactly(records: DataFrame, wanted: str, k: int = 10, block: int = 4096) -> DataFrame:
     """(vec_a, vec_b, cosine): the k nearest of the vectors that the condition ``wanted`` (on vec_id) names, by comparing them with all vectors, in
     blocks; the measure for ``similar``."""

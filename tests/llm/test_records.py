@@ -79,6 +79,7 @@ def test_more_close_partners_than_k_stay_whole(spark):
     assert vectors.close_pairs(vec_table(spark, rows)).count() == 42 * 41 // 2
     links, members = vectors.close_links(vec_table(spark, rows))
     assert links.count() == 31 * 30 // 2  # copies are one class
+    assert {(r.copies, r.links) for r in vectors.linked(vec_table(spark, rows)).collect()} == {(1, 41), (12, 30)}
     assert {(r.rep, r.copies) for r in members.where("vec_id >= 50").collect()} == {(50, 12)} and members.count() == 42
 
 
@@ -117,6 +118,8 @@ def test_pairs(spark):
     df = spark.createDataFrame(rows, TEXT)
     got = {tuple(r) for r in lookalike.lookalike_pairs(df).collect()}
     assert got == {("block", x, y) for x, y in (("a", "b"), ("a", "c"), ("b", "c"), ("b", "d"), ("c", "d"), ("h", "i"))}
+    linked = {r.id: (r.forms, r.links) for r in lookalike.classes(df).collect()}
+    assert linked == {"a": (3, 2), "d": (3, 2), "b": (3, 3), "c": (3, 3), "h": (2, 1), "i": (2, 1)}
     norm = {r.id: r.text for r in lookalike.normalized(df.where("record_kind = 'block'")).collect()}
     assert norm["b"] == LONG and norm["i"] == russian and norm["e"] == LONG.upper() and norm["v"] == ""
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
