@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import ORPHANS, TERMINATORS, is_blank, trimmed, trimmed_right
-from quillmesh.operators.sequences import order
+from quillmesh.operators.sequences import own, stretched, within
 
 #: Patterns of the rules.
 FIGURE_LABEL = r"^(?:[A-Za-z]{1,3}|/|[）)]|[（(]?[a-zA-Z0-9][）)]?)$"
@@ -75,10 +75,11 @@ def label_sequences(blocks: DataFrame) -> DataFrame:
 
 def order_breaks(blocks: DataFrame) -> DataFrame:
     """Q13: unfinished text followed on its page by lone punctuation."""
-    w = order()
+    w = within()
     nxt = trimmed(F.lead("text").over(w))
     test = (F.lead("page_start").over(w) == F.col("page_start")) & nxt.isin(*ORPHANS) & ~F.substring(trimmed_right(F.col("text")), -1, 1).isin(*TERMINATORS)
-    at = blocks.withColumn("__t", F.coalesce(test, F.lit(False))).withColumn("__x", nxt)
+    rows = stretched(blocks.select("document_id", "block_id", "ordinal", "page_start", "text"))
+    at = own(rows.withColumn("__t", F.coalesce(test, F.lit(False))).withColumn("__x", nxt))
     return issue(at.where("__t"), "POSSIBLE_READING_ORDER_BREAK", "warning", "normalization", F.col("__x"))
 
 

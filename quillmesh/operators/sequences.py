@@ -18,6 +18,33 @@ def order(by: str = "document_id") -> Window:
     return Window.partitionBy(by).orderBy("ordinal", "block_id")
 
 
+#: Blocks of a document, by their ordinal, that one task orders.
+SPAN = 4096
+
+
+def stretched(rows: DataFrame, span: int | None = None) -> DataFrame:
+    """Rows by ``__stretch``, a range of ordinals of their document, so that a large document is many tasks. Each stretch also has the last row of
+    the one before and the first of the one after, as ``__ghost``, for windows that look one row back or ahead (``within``). Only the
+    first and last row of each stretch are ordered over the whole document."""
+    at = rows.withColumn("__stretch", F.floor(F.coalesce("ordinal", F.lit(0)) / (span or SPAN))).withColumn("__ghost", F.lit(False))
+    row, place = F.struct(*[F.col(c) for c in rows.columns]), F.struct("ordinal", "block_id")
+    ends = at.groupBy("document_id", "__stretch").agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"))
+    w = Window.partitionBy("document_id").orderBy("__stretch")
+    ends = ends.withColumn("__before", F.lag("__stretch").over(w)).withColumn("__after", F.lead("__stretch").over(w))
+    ahead = ends.where("__after is not null").select("last.*", F.col("__after").alias("__stretch"), F.lit(True).alias("__ghost"))
+    behind = ends.where("__before is not null").select("first.*", F.col("__before").alias("__stretch"), F.lit(True).alias("__ghost"))
+    return at.unionByName(ahead).unionByName(behind)
+
+
+def within() -> Window:
+    return Window.partitionBy("document_id", "__stretch").orderBy("ordinal", "block_id")
+
+
+def own(rows: DataFrame) -> DataFrame:
+    """The rows of ``stretched`` without its copies."""
+    return rows.where(~F.col("__ghost")).drop("__ghost", "__stretch")
+
+
 def reading_order(items: DataFrame) -> DataFrame:
     """Rows with their place before and after sorting by (page, top, left, original_index) within a document."""
     before = Window.partitionBy("document_id").orderBy("original_index")
@@ -33,12 +60,15 @@ def moved(items: DataFrame) -> DataFrame:
 def body_groups(blocks: DataFrame) -> DataFrame:
     """Body rows with ``group_no`` (W4): a group ends at a heading or where the heading path changes; labels are left out
     and don't end one."""
-    rows = blocks.where(~F.col("block_type").isin(*NOT_INDEXED))
+    rows = stretched(blocks.where(~F.col("block_type").isin(*NOT_INDEXED)))
     control = F.col("block_type").isin(*CONTROL)
-    w = order()
+    w = within()
     breaks = control | F.lag(control, 1, True).over(w) | ~F.col("heading_path").eqNullSafe(F.lag("heading_path").over(w))
-    marked = rows.withColumn("__b", F.when(breaks, 1).otherwise(0))
-    return marked.withColumn("group_no", F.sum("__b").over(w)).where(~control).drop("__b")
+    marked = rows.withColumn("__b", F.when(breaks, 1).otherwise(0)).where(~F.col("__ghost"))
+    before = Window.partitionBy("document_id").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.groupBy("document_id", "__stretch").agg(F.sum("__b").alias("__n")).withColumn("__n", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    at = marked.withColumn("group_no", F.sum("__b").over(w)).where(~control).join(sums, ["document_id", "__stretch"])
+    return at.withColumn("group_no", F.col("group_no") + F.col("__n")).drop("__b", "__n", "__ghost", "__stretch")
 
 
 def continues(w: Window) -> Column:
@@ -83,8 +113,8 @@ def orphan_punctuation(rows: DataFrame) -> DataFrame:
 
 def anchors(rows: DataFrame) -> DataFrame:
     """Rows with the text before and after."""
-    w = order()
-    return rows.withColumn("before_text", F.lag("text").over(w)).withColumn("after_text", F.lead("text").over(w))
+    w = within()
+    return own(stretched(rows).withColumn("before_text", F.lag("text").over(w)).withColumn("after_text", F.lead("text").over(w)))
 
 
 def asof_before(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
