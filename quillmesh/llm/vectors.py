@@ -433,10 +433,11 @@ def nearest_exactly(records: DataFrame, wanted: str, k: int = 10, block: int = 4
         ids, role = f["vec_id"].to_numpy(), f["role"].to_numpy()
         own, ask = np.flatnonzero(role == 1), np.flatnonzero(role == 2)
         parts = [pd.DataFrame({"vec_a": pd.Series(dtype="int64"), "vec_b": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})]
+        y, names = x[own], ids[own]
         for i in ask.tolist() if len(own) else ():
-            s = x[own] @ x[i]
-            s[ids[own] == ids[i]] = -2
-            top = own[np.lexsort((ids[own], -s))[: k + 1]]
+            s = y @ x[i]
+            s[names == ids[i]] = -2
+            top = own[np.lexsort((names, -s))[: k + 1]]
             at = pd.DataFrame({"vec_a": ids[i], "vec_b": ids[top], "cosine": x[top] @ x[i]})
             parts.append(at[at.vec_b != at.vec_a].head(k))
         return pd.concat(parts)
