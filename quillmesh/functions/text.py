@@ -29,8 +29,8 @@ LAYOUT_RULES = (
 #: Outline numbers and chapter markers.
 NUMBERED_HEADING = r"^(\d+(?:\.\d+)+)(?:\s+|(?=[^\d.]))(.+)$"
 CHAPTER_MARKER = r"^第\s*(\d+)\s*章$"
-#: The token pattern; dotted numbers are one token, characters outside a-z and 0-9 are one each.
-TOKEN = r"(?<![a-z0-9])[0-9]+(?:\.[0-9]+)*(?![a-z0-9])|[a-z0-9]+|[\p{L}\p{N}]"
+#: The token pattern; dotted numbers are one token unless an underscore touches them, characters outside a-z and 0-9 are one each.
+TOKEN = r"(?<![a-z0-9_])[0-9]+(?:\.[0-9]+)*(?![a-z0-9_])|[a-z0-9]+|[\p{L}\p{N}]"
 _WIDE = "".join(chr(c) for c in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
 _NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
 

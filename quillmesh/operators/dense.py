@@ -12,7 +12,8 @@ from quillmesh.functions.ids import point_id, prefix_keys
 from quillmesh.operators.lexical import ranked
 from quillmesh.session import ship
 
-BLOCK = 4096
+#: Vectors of a block at least, numbers of a block at most where that allows more vectors, similarities held at once.
+BLOCK, NUMBERS, TILE = 4096, 1 << 20, 1 << 20
 
 
 def valid_vector(values: Column, dimensions: Column) -> Column:
@@ -31,16 +32,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, filters: SearchFilters | None = None, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, filters: SearchFilters | None = None, block: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k vectors (chunk_id, space, values) of the same space most like each query vector
-    (query_id, space, values). Both sides are divided into blocks by hash; each pair of blocks is one matrix product whose k best
-    per query go on. Filters are applied before the search."""
+    (query_id, space, values). Both sides are divided into blocks by hash; each pair of blocks is one matrix product, in tiles of queries, whose
+    k best per query go on. A side is copied once for each block of the other, so a block is of ``block`` vectors or about 8 MB. Filters are
+    applied before the search."""
     ship(vectors.sparkSession)
     if filters is not None:
         vectors = vectors.where(filters.predicate())
-    n = vectors.groupBy("space").agg(F.ceil(F.count("*") / block).cast("int").alias("vb"))
-    m = queries.groupBy("space").agg(F.ceil(F.count("*") / block).cast("int").alias("qb"))
-    size = n.join(m, "space")
+    rows = F.lit(block) if block else F.greatest(F.lit(BLOCK), F.floor(NUMBERS / F.max(F.size("values"))))
+    n = vectors.groupBy("space").agg(F.ceil(F.count("*") / rows).cast("int").alias("vb"))
+    m = queries.groupBy("space").agg(F.ceil(F.count("*") / rows).cast("int").alias("qb"))
+    size = F.broadcast(n.join(m, "space"))  # a row for each version and number of dimensions
     own = vectors.select("space", F.col("chunk_id").alias("id"), "values").join(size, "space").withColumn("v", F.pmod(F.xxhash64("id"), "vb").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
     ask = queries.select("space", F.col("query_id").alias("id"), "values").join(size, "space").withColumn("q", F.pmod(F.xxhash64("id"), "qb").cast("int")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)))
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
@@ -49,13 +52,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, filters: SearchFi
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
         x, y = np.stack(a["values_a"].to_list()).astype(float), np.stack(b["values_b"].to_list()).astype(float)
-        s = (y / np.linalg.norm(y, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-        if s.shape[1] > k:  # all that tie with the k-th go on
-            least = np.round(-np.partition(-s, k - 1, axis=1)[:, k - 1 : k], 9)
-            r, c = np.nonzero(np.round(s, 9) >= least)
-        else:
-            r, c = np.nonzero(np.ones_like(s, bool))
-        return pd.DataFrame({"query_id": b["id_b"].to_numpy()[r], "chunk_id": a["id_a"].to_numpy()[c], "score": s[r, c]})
+        x, y = (x / np.linalg.norm(x, axis=1, keepdims=True)).T, y / np.linalg.norm(y, axis=1, keepdims=True)
+        parts, step = [], max(1, TILE // x.shape[1])
+        for low in range(0, len(y), step):
+            s = y[low : low + step] @ x
+            if s.shape[1] > k:  # all that tie with the k-th go on
+                least = np.round(-np.partition(-s, k - 1, axis=1)[:, k - 1 : k], 9)
+                r, c = np.nonzero(np.round(s, 9) >= least)
+            else:
+                r, c = np.nonzero(np.ones_like(s, bool))
+            parts.append((r + low, c, s[r, c]))
+        r, c, score = (np.concatenate(z) for z in zip(*parts, strict=True))
+        return pd.DataFrame({"query_id": b["id_b"].to_numpy()[r], "chunk_id": a["id_a"].to_numpy()[c], "score": score})
 
     keys = ["space", "q", "v"]
 

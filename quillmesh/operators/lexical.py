@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +23,11 @@ DIGITS = 9
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``postings`` (chunk_id, term, tf, dl), ``terms`` (term, df, idf), ``corpus`` (n, avgdl), ``chunks``."""
+    """``texts`` (chunk_id, words) with the terms of each chunk in order as one string (``joined``), ``postings`` (chunk_id, term, tf, dl),
+    ``terms`` (term, df, idf), ``corpus`` (n, avgdl), ``chunks``."""
 
     chunks: DataFrame
+    texts: DataFrame
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
@@ -37,9 +40,24 @@ def terms_of(col: Column, stopwords: tuple[str, ...] = (), analyzer: Analyzer |
     return analyzer.column(col) if analyzer is not None else tokens(col, stopwords)
 
 
+def joined(terms: Column) -> Column:
+    """An array of terms as one string, a fraction of its size; no term has white space."""
+    return F.array_join(terms, "\n")
+
+
+def parted(words: Column | str) -> Column:
+    """The terms of a string that ``joined`` made; one empty term if there were none."""
+    return F.split(words, "\n")
+
+
 def posted(chunks: DataFrame, text: str = "index_text", stopwords: tuple[str, ...] = (), analyzer: Analyzer | None = None) -> DataFrame:
     """(chunk_id, term, tf, dl): the terms of each chunk with their counts and the chunk's length."""
-    each = chunks.select("chunk_id", terms_of(F.col(text), stopwords, analyzer).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return counted(chunks.select("chunk_id", terms_of(F.col(text), stopwords, analyzer).alias("t")))
+
+
+def counted(texts: DataFrame) -> DataFrame:
+    """The postings of texts (chunk_id, t), t an array of terms."""
+    each = texts.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
     return each.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").cast("bigint").alias("dl"))
 
 
@@ -55,19 +73,24 @@ def inverse_frequencies(stats: DataFrame, corpus: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def build(chunks: DataFrame, text: str = "index_text", stopwords: tuple[str, ...] = (), keep: bool = True, analyzer: Analyzer | None = None, check: bool = False) -> LexicalIndex:
-    """The index of chunks with unique ids; ``keep`` persists the postings for the searches of a session, ``check`` reads the corpus
-    once to refuse one that is empty, repeats an id or has a chunk without terms (T11)."""
-    postings = posted(chunks, text, stopwords, analyzer)
+def build(chunks: DataFrame, text: str = "index_text", stopwords: tuple[str, ...] = (), keep: bool = True, analyzer: Analyzer | None = None, check: bool = False, words: str | None = None) -> LexicalIndex:
+    """The index of chunks with unique ids; ``keep`` persists their terms, and the frequencies, for the searches of a session, ``check`` reads the
+    corpus once to refuse one that is empty, repeats an id or has a chunk without terms (T11). ``words`` names a column that has the terms ``joined``
+    already, persisted or not by the caller. A chunk's terms are counted in its row, so that the statistics shuffle terms and counts, but no posting."""
+    texts = chunks.select("chunk_id", (F.col(words) if words else joined(terms_of(F.col(text), stopwords, analyzer))).alias("words"))
+    if keep and words is None:
+        texts = texts.persist(StorageLevel.MEMORY_AND_DISK)
+    some = texts.where("words != ''").select("chunk_id", parted("words").alias("t"))
+    postings = counted(some)
+    stats = some.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     if keep:
-        postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
-    lengths = postings.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
-    corpus = chunks.agg(F.count("*").alias("n")).join(F.broadcast(lengths.agg(F.sum("dl").alias("total")))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
+        stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
+    corpus = texts.agg(F.count("*").alias("n"), F.sum(F.when(F.col("words") != "", F.size(parted("words"))).otherwise(0)).alias("total")).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
     if check:
         wrong = unfit(chunks, postings).first()
         if wrong is not None:
             raise ValueError(f"{wrong.reason}{': ' + wrong.chunk_id if wrong.chunk_id else ''}")
-    return LexicalIndex(chunks, postings, inverse_frequencies(term_stats(postings), corpus), corpus, analyzer, stopwords)
+    return LexicalIndex(chunks, texts, postings, inverse_frequencies(stats, corpus), corpus, analyzer, stopwords)
 
 
 def unfit(chunks: DataFrame, postings: DataFrame) -> DataFrame:
@@ -89,8 +112,9 @@ def ranked(scores: DataFrame, k: int, *ties: Column | str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
-#: Chunks and queries of one block; a block of chunks holds its postings of the terms asked for.
-CHUNK_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Chunks and queries of one block. Each side is copied once for each block of the other, and a pair of blocks gives k rows a query: so blocks
+#: are as large as a task can well hold.
+CHUNK_BLOCK, QUERY_BLOCK = 8192, 16384
 _FACTS = ("document_id", "heading_path", "page_start", "page_end")
 
 
@@ -99,22 +123,19 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 5, filters: SearchF
     all queries; a ``filters`` column of the queries holds for its own. Statistics are of the unfiltered corpus. ``ties`` are columns of the
     chunks that order equal scores, such as the place in the corpus.
 
-    A posting's weight is the same for all queries. Postings of the terms asked for are laid out by chunk and scored in blocks of chunks
-    and queries; only the k best of a block, and what ties with them, leave it. So neither a frequent term nor the number of queries makes rows of
-    query and chunk."""
+    Queries carry the frequencies of their terms, so that the terms of a chunk are one row that is never joined by term. They are laid out by blocks of
+    chunks and queries and counted and weighted there; only the k best of a block, and what ties with them, leave it. So neither a
+    frequent term nor the number of queries makes rows of query and chunk."""
     ship(index.chunks.sparkSession)
-    asked = query_terms(queries, index.stopwords, index.analyzer)
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    needed = index.terms.join(asked.select("term").distinct(), "term", "left_semi")
-    weights = index.postings.join(needed, "term").join(F.broadcast(index.corpus)).select("chunk_id", "term", weight.alias("w"))
-    rows = weights.groupBy("chunk_id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights"))
+    asked = query_terms(queries, index.stopwords, index.analyzer).join(index.terms.select("term", "idf"), "term")
+    rows = index.texts.where("words != ''")
     own = "filters" in queries.columns
     facts = index.chunks if filters is None else index.chunks.where(filters.predicate())
     extra = [t for t in ties if t != "chunk_id"]
     if own or filters is not None or extra:
         rows = rows.join(facts.select("chunk_id", *(_FACTS if own else ()), *[F.col(t).alias(f"tie_{t}") for t in extra]), "chunk_id")
     whole = index.corpus.select(F.greatest(F.lit(1), F.ceil(F.col("n") / CHUNK_BLOCK)).alias("chunk_blocks")).join(F.broadcast(queries.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / QUERY_BLOCK)).alias("query_blocks"))))
-    one = asked.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("qtf").alias("counts"))
+    one = asked.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("qtf") * F.col("idf")).alias("weights")).join(F.broadcast(index.corpus.select("avgdl")))
     if own:
         one = one.join(queries.select("query_id", "filters"), "query_id")
 
@@ -144,24 +165,25 @@ def block_hits(x: pa.Table, y: pa.Table, k: int, ties: list[str], own: bool) ->
     if not x.num_rows or not y.num_rows:
         return schema.empty_table()
     x, y = x.combine_chunks(), y.combine_chunks()
-    terms = x["terms"].combine_chunks()
-    coded = terms.flatten().dictionary_encode()
-    code, at = coded.indices.to_numpy(), np.repeat(np.arange(x.num_rows), np.diff(terms.offsets.to_numpy()))
-    weight = x["weights"].combine_chunks().flatten().to_numpy()
-    order = np.argsort(code, kind="stable")
-    at, weight = at[order], weight[order]
-    low = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
-    number = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+    n, words, terms = x.num_rows, pc.split_pattern(x["words"].combine_chunks(), "\n"), y["terms"].combine_chunks()
+    length, coded = pc.list_value_length(words).to_numpy(), words.flatten().dictionary_encode()
+    asked = pc.index_in(terms.flatten(), value_set=coded.dictionary).fill_null(-1).to_numpy()  # a code, or -1 for a term that no chunk here has
+    first, gain = np.cumsum([0, *pc.list_value_length(terms).to_pylist()]), y["weights"].combine_chunks().flatten().to_numpy()
+    needed = np.zeros(len(coded.dictionary) + 1, bool)
+    needed[asked] = True
+    code = coded.indices.to_numpy()
+    held = np.flatnonzero(needed[code])
+    key, tf = np.unique(code[held].astype(np.int64) * n + np.repeat(np.arange(n, dtype=np.int32), length)[held], return_counts=True)
+    at, low = key % n, np.searchsorted(key, np.arange(len(coded.dictionary) + 1) * n)
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[at] / y["avgdl"][0].as_py()))
     test = BlockFilter(x) if own else None
     who, which, scores = [], [], []
-    asked = zip(y["terms"].to_pylist(), y["counts"].to_pylist(), y["filters"].to_pylist() if own else [None] * y.num_rows, strict=True)
-    for q, (words, counts, wanted) in enumerate(asked):
-        score, hit = np.zeros(x.num_rows), np.zeros(x.num_rows, bool)
-        for w, n in zip(words, counts, strict=True):
-            i = number.get(w)
-            if i is not None:
-                part = slice(low[i], low[i + 1])
-                score[at[part]] += n * weight[part]  # a chunk has a term once
+    for q, wanted in enumerate(y["filters"].to_pylist() if own else [None] * y.num_rows):
+        score, hit = np.zeros(n), np.zeros(n, bool)
+        for i in range(first[q], first[q + 1]):
+            if asked[i] >= 0:
+                part = slice(low[asked[i]], low[asked[i] + 1])
+                score[at[part]] += gain[i] * weight[part]  # a chunk has a term once
                 hit[at[part]] = True
         if wanted is not None and test is not None:
             hit &= test.passing(wanted)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,11 +160,14 @@ cnt AS (SELECT query_id, count(*) AS candidate_count FROM rrf GROUP BY ALL)"""
 
 
 def hybrid(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Hits, queries and chunks of the hybrid search; a case's query vector is that of its first relevant chunk."""
-    chunks, cases = chunks_of(spark, d), cases_of(spark, d)
-    w = vectors_of(spark, d).where(F.col("space").endswith("|64")).groupBy(F.col("chunk.chunk_id").alias("chunk_id"), "space").agg(F.min_by("values", "vec_id").alias("values"))
+    """Hits, queries and chunks (chunk_id, words, heading_path) of the hybrid search; a case's query vector is that of its first relevant chunk. What
+    several branches read is persisted: terms and headings, cases, and vectors, laid out by chunk so that they meet the cases without another shuffle."""
+    chunks = chunks_of(spark, d).select("chunk_id", lexical.joined(text.tokens(F.col("index_text"))).alias("words"), "heading_path").persist(StorageLevel.MEMORY_AND_DISK)
+    cases = cases_of(spark, d).select("case_id", "query", "relevant_chunk_ids").persist(StorageLevel.MEMORY_AND_DISK)
+    v = vectors_of(spark, d).where(F.col("space").endswith("|64")).select(F.col("chunk.chunk_id").alias("chunk_id"), "space", "vec_id", "values")
+    w = v.repartition("chunk_id").groupBy("chunk_id", "space").agg(F.min_by("values", "vec_id").alias("values")).persist(StorageLevel.MEMORY_AND_DISK)
     ask = cases.select(F.col("case_id").alias("query_id"), F.try_element_at("relevant_chunk_ids", F.lit(1)).alias("chunk_id")).join(w, "chunk_id").select("query_id", "space", "values")
-    legs = lexical.search(lexical.build(chunks), questions(cases), fusion.LEG_K), dense.search(w, ask, fusion.LEG_K)
+    legs = lexical.search(lexical.build(chunks, words="words"), questions(cases), fusion.LEG_K), dense.search(w, ask, fusion.LEG_K)
     return fusion.reciprocal_ranks(*legs, k=k), questions(cases), chunks
 
 

@@ -110,3 +110,7 @@ def test_filters(spark):
     for bad in ({"document_ids": ()}, {"document_ids": ("a", "a")}, {"heading_prefix": (" ",)}, {"page_start": 0}, {"page_start": 5, "page_end": 4}, {"page_start": True}):
         with pytest.raises(ValueError):
             SearchFilters(**bad)
+
+
+def test_numbers_beside_underscores(spark):
+    assert one(spark, "见_7.14_节 7.14 v_2.5.1 2.5", lambda c: text.tokens(c)) == ["见", "7", "14", "节", "7.14", "v", "2", "5.1", "2.5"]

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,46 @@ def test_registry_composes(spark):
     assert top == {"bm25": "c0", "dense": "c0", "hybrid": "c0", "rerank": "c0"}
     with pytest.raises(ValueError):
         r.search("other", ask(spark, "a"))
+
+
+def shuffled(spark):
+    """Bytes that the stages of this session wrote to shuffles so far."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_terms_of_chunks_are_shuffled_once_for_many_queries(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) for _ in range(800)]
+    chunks = corpus(spark, texts).repartition(4).persist()
+    chunks.count()
+    queries = ask(spark, *[" ".join(f"w{rng.randrange(3000)}" for _ in range(3)) for _ in range(3000)])
+    began = shuffled(spark)
+    assert lexical.search(lexical.build(chunks), queries, 3).count() == 9000
+    assert shuffled(spark) - began < 3 * sum(map(len, texts))
+
+
+def test_rerank_searches_once(spark):
+    v = spark.createDataFrame([("c0", "s", [1.0, 0.0]), ("c1", "s", [0.7, 0.7])], "chunk_id string, space string, values array<double>")
+    embed = lambda q: q.select("query_id", F.lit("s").alias("space"), F.array(F.lit(1.0), F.lit(0.0)).alias("values"))
+    hits = Retrievers(lexical.build(corpus(spark, ["alpha", "beta"])), v, embed).search("rerank", ask(spark, "alpha"), 1)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"FlatMapCoGroupsIn{x}") for x in ("Arrow", "Pandas")] == [1, 1]
+
+
+def test_rerank_with_the_terms_of_an_index(spark):
+    chunks = corpus(spark, ["协议 文本", "", "b b c"], [["网络"], ["协议"], ["b"]])
+    hits = spark.createDataFrame([("q0", f"c{i}", 1.0, i + 1) for i in range(3)], "query_id string, chunk_id string, score double, rank long")
+    known = chunks.select("chunk_id", "heading_path", lexical.joined(lexical.terms_of(F.col("index_text"))).alias("words"))
+    by_text, by_terms = ({tuple(r) for r in fusion.rerank(hits, ask(spark, "协议 b"), c, 3).collect()} for c in (chunks, known))
+    assert by_text == by_terms and {(r[1], round(r[2], 6)) for r in by_text} == {("c0", 1.666667), ("c1", 1.666667), ("c2", 1.666667)}
+
+
+def test_dense_tiles_agree(spark, monkeypatch):
+    rows = [(f"v{i:02d}", "s", [math.cos(i), math.sin(i), (i % 5) / 3]) for i in range(40)]
+    v = spark.createDataFrame(rows, "chunk_id string, space string, values array<double>")
+    q = v.withColumnRenamed("chunk_id", "query_id")
+    whole = [(r.query_id, r.chunk_id, r.rank) for r in dense.search(v, q, 4).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(dense, "TILE", 130)
+    assert [(r.query_id, r.chunk_id, r.rank) for r in dense.search(v, q, 4).orderBy("query_id", "rank").collect()] == whole
